@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -39,10 +39,13 @@ def remove(spark: SparkSession, path: str) -> None:
 class Stage:
     """A table written to the shared folder: lineage ends here, so lost executors cost a reread only."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, *measures: Column):
+        """`measures` are taken of the rows while they are written, and kept by name in `measured`."""
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        seen = Observation() if measures else None
+        (df.observe(seen, *measures) if seen else df).write.parquet(self.path)
+        self.measured = seen.get if seen else {}
         self.schema = df.schema
 
     @property

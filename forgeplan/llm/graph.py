@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from .common import Stage
 
 
-def _digest(e: DataFrame) -> tuple:
-    r = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return r[0], r[1]
+def _written(e: DataFrame) -> Stage:
+    return Stage(e, "links", F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest"))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,21 +20,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     gathers a component in one task: minima are combined before the shuffle, joins are split by AQE where skewed.
     """
     start = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now = Stage(start, "links")
-    seen = _digest(now.df)
-    while seen[0]:
+    now = _written(start)
+    while now.measured["n"]:
         e = now.df
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where(F.col("u") != F.col("v")).distinct()
-        after = Stage(small, "links")
-        digest = _digest(after.df)
+        after = _written(small)
         now.drop()
-        now = after
-        if digest == seen:
+        now, done = after, after.measured == now.measured
+        if done:
             break
-        seen = digest
     e = now.df
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,7 +79,7 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, sample_rows: int, id
     return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
 
 
-def ftrl(rows: list[tuple[float, np.ndarray, np.ndarray]], bits: int, epochs: int = 4, alpha: float = 0.3, beta: float = 0.1, l1: float = 0.02, l2: float = 0.01) -> Model:
+def ftrl(rows: Iterable[tuple[float, np.ndarray, np.ndarray]], bits: int, epochs: int = 4, alpha: float = 0.3, beta: float = 0.1, l1: float = 0.02, l2: float = 0.01) -> Model:
     """Fits (label, features, values) rows in order; feature 2 ** bits is the intercept, which l1 spares."""
     m = (1 << bits) + 1
     z, n = np.zeros(m), np.zeros(m)
@@ -113,12 +113,33 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample_rows
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), part.column(1).slice(a, b - a), lists(key & ((1 << bits) - 1)), lists(count)], names=["doc_id", "y", "j", "c"])
 
     rows = sample(docs, labels, target, sample_rows, id_col, text_col).select(F.col("doc_id").cast("long"), "y", "text")
-    got = rows.mapInArrow(run, "doc_id long, y double, j array<int>, c array<int>").toArrow().sort_by("doc_id")
-    data = []
-    for k in np.random.default_rng(0).permutation(got.num_rows).tolist():
-        j, c = (np.asarray(got[x][k].values.to_numpy(zero_copy_only=False), np.int64) for x in ("j", "c"))
-        data.append((got["y"][k].as_py(), j, SCALE * c / max(1, c.sum())))
-    return ftrl(data, bits)
+    got = rows.mapInArrow(run, "doc_id long, y double, j array<int>, c array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    if not got.num_rows:
+        return ftrl([], bits)
+    y, cut = got["y"].to_numpy(), got["j"].chunk(0).offsets.to_numpy()
+    j, c = (got[x].chunk(0).values.to_numpy() for x in ("j", "c"))
+    cut = cut - cut[0]
+    order = np.random.default_rng(0).permutation(got.num_rows).tolist()
+    model = ftrl(_Rows(order, y, cut, j, c), bits)
+    del got, y, j, c
+    pa.default_memory_pool().release_unused()
+    return model
+
+
+@dataclass(frozen=True)
+class _Rows:
+    """The training rows in order, cut from flat arrays when they are read."""
+
+    order: list[int]
+    y: np.ndarray
+    cut: np.ndarray
+    j: np.ndarray
+    c: np.ndarray
+
+    def __iter__(self) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        for k in self.order:
+            part = slice(self.cut[k], self.cut[k + 1])
+            yield self.y[k], self.j[part].astype(np.int64), SCALE * self.c[part] / max(1, self.c[part].sum())
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
