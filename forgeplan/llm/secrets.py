@@ -11,7 +11,7 @@ or the sum of the classes' sizes), and three statistics are taken over its n cha
 
 Runs must pass all tests of randomness at |z| < LIMIT, and their p-value must pass Benjamini-Hochberg control of the
 false discovery rate within their length class (doublings of 20), taken over the candidates of the whole table from a
-histogram of at most CLASSES * BINS counts. Runs of digits only, and runs that touch a known form, are not tested.
+histogram of at most CLASSES * BINS counts. Runs of digits or of letters of one case only, and runs that touch a known form, are not flagged.
 
 Positions are code points, ends exclusive. Cases: null and empty texts have no span; repeated rows and ids keep their
 rows; null ids are kept; an empty table gives an empty table; very long runs and texts are scanned whole.
@@ -114,7 +114,7 @@ def randomness(value: Column) -> Column:
         places = F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c).cast("double"))
         even = let(k, lambda k: even_z(chars, n, k, k * F.when(hexed, KAPPA_HEX).otherwise(KAPPA) - 1))
         return let(even, lambda e: F.struct(n.alias("n"), F.greatest(normal_cdf(e["natural"]), F.lit(1e-19)).alias("p"), (
-            (F.abs(let(kinds, lambda x: runs_z(x, n))) < LIMIT) & (F.abs(let(places, lambda x: serial_z(x, n))) < LIMIT) & (e["even"] < LIMIT) & ~plain.rlike("^[0-9]+$")
+            (F.abs(let(kinds, lambda x: runs_z(x, n))) < LIMIT) & (F.abs(let(places, lambda x: serial_z(x, n))) < LIMIT) & (e["even"] < LIMIT) & ~plain.rlike("^([0-9]+|[a-z]+|[A-Z]+)$")
         ).alias("random")))
 
     return let(F.rtrim(value, F.lit("=")), lambda plain: let(F.filter(F.split(plain, ""), lambda c: c != ""), lambda chars: let(plain.rlike("^([0-9a-f]+|[0-9A-F]+)$"), lambda hexed: of(plain, chars, hexed))))
