@@ -50,7 +50,7 @@ DECOYS = [
     "she obtained her fishing license", "the author granted permission to publish", "the foundation published the terms", "binary and source code are available free of charge",
     "the work is in the public library", "use of this file is subject to conditions", "see the license for details", "licensed under terms of a separate agreement", "international commons for creative work",
 ]
-STOP = "the a an and or of to in for is are be by with without this that it its as at on any all you may not from under which".split()
+STOP = "the a an and or of to in for is are be by with without this that it its as at on any all you may not from under which has his her can into no met".split()
 WORD = r"[\p{L}\p{N}](?:[\p{L}\p{N}.+-]*[\p{L}\p{N}+])?"
 UNKNOWN = "unknown"
 
@@ -125,10 +125,16 @@ def signs(model: Model) -> list[str]:
     numeric = [g for g in model.weights if not re.search("[a-z]", g)]
     w, b = np.array([model.weights[g] for g in numeric]).reshape(len(numeric), -1), np.array(model.intercept)
     alone = (b[:-1] + np.clip(w[:, :-1], 0, None).sum(axis=0)).max() < b[-1] + np.clip(w[:, -1], None, 0).sum()
-    runs = {r for g in model.weights if " " not in g for r in re.findall("[a-z0-9]+", g)}
+    words = [re.findall("[a-z0-9]+", g) for g in model.weights if " " not in g]
+    # a word with several runs holds each of them: its longest one that is no stop word stands for it
+    runs = {max(w, key=lambda r: (r not in STOP and not r.isdigit(), len(r), r)) for w in words}
     return sorted(r for r in runs if not (alone and r.isdigit()))
 
 
+def _signed(text: Column, signs: list[str]) -> Column:
+    return F.arrays_overlap(F.split(F.lower(text), "[^a-z0-9]+"), _literal(signs))
+
+
 def _literal(values: list) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
@@ -151,13 +157,14 @@ def paragraphs(text: Column, model: Model) -> Column:
     shapes = F.array(*(F.struct(F.lit(k).alias("family"), _literal(grams(split(t))).alias("grams")) for k, f in enumerate(model.families[:-1]) for t in TEMPLATES[f]))
 
     def score(g: Column) -> Column:
-        known = F.filter(F.transform(g, lambda x: F.array_position(keys, x).cast("int")), lambda i: i > 0)
+        known = F.transform(F.array_intersect(g, keys), lambda x: F.array_position(keys, x).cast("int"))
         logits = F.aggregate(known, _literal(model.intercept), lambda a, i: F.zip_with(a, F.get(table, i - 1), lambda x, y: x + y))
         best = let(logits, lambda z: let(F.array_max(z), lambda top: F.struct((F.array_position(z, top) - 1).cast("int").alias("k"), (1 / F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top))).alias("p"))))
         shared = lambda b: F.array_max(F.transform(F.filter(shapes, lambda s: s["family"] == b["k"]), lambda s: F.size(F.array_intersect(s["grams"], g)) / F.size(s["grams"])))
         return F.when(F.size(known) > 0, let(best, lambda b: F.struct(F.get(families, b["k"]).alias("family"), b["p"].alias("probability"), F.coalesce(shared(b), F.lit(0.0)).alias("overlap"))))
 
-    lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("at"), let(_grams(_words(line)), score).alias("s")))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("at"), line.alias("line"))), lambda x: _signed(x["line"], signs(model)))
+    lines = F.transform(lines, lambda x: F.struct(x["at"].alias("at"), let(_grams(_words(x["line"])), score).alias("s")))
     return F.transform(F.filter(lines, lambda x: x["s"].isNotNull()), lambda x: F.struct(x["at"].alias("at"), x["s"]["family"].alias("family"), x["s"]["probability"].alias("probability"), x["s"]["overlap"].alias("overlap")))
 
 
@@ -165,7 +172,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", over
     """One row for each document: its number of paragraphs, the licences found, and the surest one with its place."""
     model = fit()
     text = F.coalesce(F.col("text"), F.lit(""))
-    some = F.arrays_overlap(F.split(F.lower(text), "[^a-z0-9]+"), _literal(signs(model)))
+    some = _signed(text, signs(model))
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     empty = F.array().cast("array<struct<at:int,family:string,probability:double,overlap:double>>")
     df = df.withColumn("found", F.when(some, paragraphs(text, model)).otherwise(empty))
