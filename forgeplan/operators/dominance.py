@@ -38,3 +38,41 @@ def direct_dominance(g: Graph) -> DataFrame:
     top = pairs.join(pairs.select(F.col("recipe_id").alias("dominator")).distinct(), "dominator", "left_anti")
     stations = top.join(g.stations.withColumnRenamed("recipe_id", "dominator"), "dominator")
     return stations.groupBy("recipe_id").agg(F.countDistinct("dominator").alias("n_dominators"), F.countDistinct("item_id").alias("n_stations"))
+
+
+def per_unit_pairs(g: Graph) -> DataFrame:
+    """(recipe_id, dominator) where the dominator is no worse for one unit of the anchor, and strictly better in something.
+
+    Amounts and costs are compared crosswise as DECIMAL(38,0), so no ratio is rounded. The division by inputs is that
+    of `direct_pairs`; a pair is strict if an input of the recipe is missing from its dominator or a comparison is.
+    """
+    plain = g.recipes.where(F.col("anchor") <= g.n_real)
+    eats = g.inputs.join(plain.select("recipe_id", "anchor", "anchor_amt"), "recipe_id")
+    selfish = eats.where(F.col("item_id") == F.col("anchor")).select("recipe_id")
+    size = eats.groupBy("recipe_id").agg(F.count("*").alias("n"))
+    sized = plain.join(size, "recipe_id", "left").select("recipe_id", "anchor", "anchor_amt", "cost", F.coalesce("n", F.lit(0)).alias("n"))
+    able = sized.join(selfish, "recipe_id", "left_anti").select(F.col("recipe_id").alias("dominator"), F.col("anchor").alias("s_anchor"), F.col("anchor_amt").alias("s_amt"), F.col("cost").alias("s_cost"), F.col("n").alias("s_n"))
+    big = lambda c: F.col(c).cast("decimal(19,0)")
+    r, s = eats.alias("r"), eats.alias("s")
+    mine, theirs = big("r.amount") * big("s.anchor_amt"), big("s.amount") * big("r.anchor_amt")
+    covered = r.join(s, (F.col("r.anchor") == F.col("s.anchor")) & (F.col("r.item_id") == F.col("s.item_id")) & (F.col("r.recipe_id") != F.col("s.recipe_id")) & (theirs <= mine))
+    covered = covered.groupBy(F.col("r.recipe_id").alias("recipe_id"), F.col("s.recipe_id").alias("dominator")).agg(F.count("*").alias("hits"), F.max(theirs < mine).alias("less"))
+    some = covered.join(able, "dominator").where("hits = s_n").join(sized, "recipe_id")
+    free = sized.join(able.where("s_n = 0"), F.col("anchor") == F.col("s_anchor")).where("recipe_id <> dominator").withColumn("less", F.lit(False))
+    costs = big("s_cost") * big("anchor_amt"), big("cost") * big("s_amt")
+    strict = lambda df: df.where((costs[0] <= costs[1]) & (F.col("less") | (F.col("n") > F.col("s_n")) | (costs[0] < costs[1]))).select("recipe_id", "dominator")
+    return strict(some).unionByName(strict(free))
+
+
+def repaired(g: Graph, marked: DataFrame) -> DataFrame:
+    """`marked` (recipe_id) without the first producer of every real item whose producers are all marked."""
+    flags = g.outputs.where(F.col("item_id") <= g.n_real).join(marked.select("recipe_id", F.lit(True).alias("m")), "recipe_id", "left")
+    dead = flags.groupBy("item_id").agg(F.count("m").alias("m"), F.count("*").alias("n"), F.min("recipe_id").alias("recipe_id")).where("m = n")
+    return marked.join(dead, "recipe_id", "left_anti")
+
+
+def usable(g: Graph, pairs: DataFrame, stations: DataFrame) -> DataFrame:
+    """(query_id, recipe_id) of dominated recipes that a request may drop: one of their top dominators' stations is at hand."""
+    top = pairs.join(pairs.select(F.col("recipe_id").alias("dominator")).distinct(), "dominator", "left_anti")
+    at = top.join(g.stations.withColumnRenamed("recipe_id", "dominator"), "dominator").select("recipe_id", "item_id").distinct()
+    return at.join(stations, "item_id").select("query_id", "recipe_id").distinct()
