@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import folded, tokens
-from ..operators import balance, dominance, normalize, reach, search
-from ..sources import derived
+from ..operators import balance, components, dominance, normalize, planner, reach, reports, search, tags
+from ..sources import derived, tables
 from ..sources.derived import Graph, graph
 
 TARGETS = (1, 2, 3)
@@ -130,7 +130,89 @@ def names_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(spark, sf_dir).groupBy(folded(F.col("name_en")).alias("alias")).agg(F.min("handle").alias("handle"), F.count("*").alias("entries"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (graph_counts, net_columns, leaf_items, useful_recipes, canonical_recipes, direct_pairs, direct_dominance, producer_stats, item_degrees, reachable, reachable_items, needed_items, seed_closure, plan_balance, plan_costs, name_tokens, name_search, names_ambiguous)}
+def per_unit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dominance.per_unit_pairs(_normal(spark, sf_dir))
+
+
+def repaired_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recipes that are still marked after an item all of whose producers give fewer than thirty units has its first back."""
+    g = graph(spark, sf_dir)
+    return dominance.repaired(g, g.recipes.where("anchor_amt < 30 AND recipe_id >= 0").select("recipe_id"))
+
+
+def usable_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each request, the directly dominated recipes that its stations let it drop."""
+    g = _normal(spark, sf_dir)
+    return dominance.usable(g, dominance.direct_pairs(g), _requests(spark, g)[1]).groupBy("query_id").agg(F.count("*").alias("n_recipes"))
+
+
+def tag_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.within_budget(graph(spark, sf_dir), 1024, 100_000)
+
+
+def exclusive_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.exclusive_items(normalize.stored(graph(spark, sf_dir)))
+
+
+def tag_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.tag_exclusive(normalize.stored(graph(spark, sf_dir)))
+
+
+def closed_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many recipes are left to each request once closed islands are gone."""
+    g = normalize.stored(graph(spark, sf_dir))
+    return reach.inside_needed(g, _requests(spark, g)[0]).groupBy("query_id").agg(F.count("*").alias("n_recipes"))
+
+
+def cost_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least cost of making a hundred of each item."""
+    g = graph(spark, sf_dir)
+    made = g.outputs.select(F.col("item_id").cast("long").alias("query_id"), "item_id").distinct().withColumn("amount", F.lit(100).cast("long"))
+    return planner.cost_bounds(g, made)
+
+
+def component_of_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of the strong component of item 1."""
+    comp = components.strong_components(components.item_edges(normalize.stored(graph(spark, sf_dir))))
+    return comp.join(comp.where("node = 1").select("component"), "component", "left_semi").select(F.col("node").alias("item_id"))
+
+
+def component_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.statistics(normalize.stored(graph(spark, sf_dir)))
+
+
+def plan_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans for a hundred of each of three targets, with a third of the stations each and no stock."""
+    g = normalize.stored(graph(spark, sf_dir))
+    targets, stations = _requests(spark, g)
+    stock = targets.withColumn("amount", F.lit(1).cast("long")).limit(0)
+    status, runs = planner.plan(g, targets.withColumn("amount", F.lit(100).cast("long")), stations, stock)
+    uses = runs.groupBy("query_id").agg(F.count("*").alias("n_recipes"))
+    return status.join(uses, "query_id", "left").select("query_id", "status", "objective", F.coalesce("n_recipes", F.lit(0)).alias("n_recipes"))
+
+
+def plan_shortfalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve largest shortfalls of the plan of `plan_balance`."""
+    short = reports.missing_lists(plan_balance(spark, sf_dir).withColumn("query_id", F.lit(0)))
+    return short.select("n_missing", F.posexplode("shortfalls").alias("rank", "x")).select("n_missing", "rank", "x.item_id", "x.missing")
+
+
+def inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One inventory a brand, written as text and read back; item 7 is beyond the range of the first six."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("text", F.concat(F.col("p_partkey") % 8, F.lit("="), F.col("p_size")))
+    read = tables.inventory(part, "text", 6)
+    return read.groupBy("p_brand").agg(F.count("error").alias("bad"), F.sum(F.get("stock", F.lit(0))["amount"]).alias("amount"))
+
+
+def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as measured plans: priorities are configurations, customers' points of the truth."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = orders.select(F.col("o_orderpriority").alias("config"), "o_custkey", F.when(F.col("o_orderstatus") == "O", "ok").when(F.col("o_orderstatus") == "F", "infeasible").otherwise("timeout").alias("status"), (F.col("o_orderkey") % 2 == 0).alias("proven_optimal"), F.col("o_totalprice").alias("cost"), F.when(F.col("o_orderkey") % 3 == 0, (F.col("o_orderkey") % 101).cast("double")).alias("plan_ms"), F.when(F.col("o_orderkey") % 3 == 1, (F.col("o_orderkey") % 103).cast("double")).alias("query_ms"), F.lit(1.0).alias("reach_ms"), F.lit(None).cast("double").alias("solve_ms"))
+    truth = orders.where("o_custkey % 4 <> 0").groupBy("o_custkey").agg((F.min("o_orderkey") % 2 == 0).alias("true_feasible"), F.min("o_totalprice").alias("best_cost"))
+    return reports.summary(reports.with_truth(reports.derived(rows), truth, ["o_custkey"]), ["config"]).withColumn("cost_ratio", F.round("cost_ratio", 6))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (graph_counts, net_columns, leaf_items, useful_recipes, canonical_recipes, direct_pairs, direct_dominance, producer_stats, item_degrees, reachable, reachable_items, needed_items, seed_closure, plan_balance, plan_costs, name_tokens, name_search, names_ambiguous, per_unit_pairs, repaired_marks, usable_marks, tag_budget, exclusive_items, tag_exclusive, closed_islands, cost_bounds, component_of_first, component_statistics, plan_statuses, plan_shortfalls, inventories, report_summary)}
 
 _NORMAL = """
 eaten AS (SELECT o.recipe_id, bool_or(o.amount > coalesce(i.amount, 0)) AS gains FROM outputs o LEFT JOIN inputs i USING (recipe_id, item_id) GROUP BY 1),
@@ -161,6 +243,8 @@ def _with(*parts: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",".join(p.strip() for p in (derived.SQL, *parts)) + "\n"
 
 
+_BALANCE = _with() + "SELECT item_id::INT AS item_id, sum(x)::BIGINT AS balance, greatest(-sum(x), 0)::BIGINT AS missing FROM (SELECT item_id, sum(x) AS x FROM (SELECT recipe_id, item_id, sum(x) AS x FROM (SELECT recipe_id, item_id, amount AS x FROM outputs UNION ALL SELECT recipe_id, item_id, -amount FROM inputs) GROUP BY 1, 2 HAVING sum(x) <> 0) JOIN recipes USING (recipe_id) WHERE anchor <= 100 GROUP BY 1 UNION ALL SELECT * FROM (VALUES (1, -100), (2, -100), (3, -100)) v(a, b)) GROUP BY 1"
+
 SQL: dict[str, str] = {
     "graph_counts": _with() + "SELECT 'outputs' AS name, count(*) AS n, sum(amount)::BIGINT AS total FROM outputs UNION ALL SELECT 'inputs', count(*), sum(amount)::BIGINT FROM inputs UNION ALL SELECT 'stations', count(*), sum(item_id)::BIGINT FROM stations",
     "net_columns": _with() + "SELECT recipe_id, item_id::INT AS item_id, sum(x)::BIGINT AS coef FROM (SELECT recipe_id, item_id, amount AS x FROM outputs UNION ALL SELECT recipe_id, item_id, -amount FROM inputs) GROUP BY 1, 2 HAVING sum(x) <> 0",
@@ -177,7 +261,8 @@ SQL: dict[str, str] = {
 targets AS (SELECT * FROM (VALUES (0, 1), (1, 2), (2, 3)) t(query_id, item_id)),
 edges AS (SELECT DISTINCT o.item_id, i.item_id AS other FROM outputs o JOIN inputs i USING (recipe_id)),
 needed AS (SELECT query_id, item_id FROM targets UNION SELECT w.query_id, e.other FROM needed w JOIN edges e USING (item_id))""", recursive=True) + "SELECT query_id::INT AS query_id, item_id::INT AS item_id FROM needed",
-    "plan_balance": _with() + "SELECT item_id::INT AS item_id, sum(x)::BIGINT AS balance, greatest(-sum(x), 0)::BIGINT AS missing FROM (SELECT item_id, sum(x) AS x FROM (SELECT recipe_id, item_id, sum(x) AS x FROM (SELECT recipe_id, item_id, amount AS x FROM outputs UNION ALL SELECT recipe_id, item_id, -amount FROM inputs) GROUP BY 1, 2 HAVING sum(x) <> 0) JOIN recipes USING (recipe_id) WHERE anchor <= 100 GROUP BY 1 UNION ALL SELECT * FROM (VALUES (1, -100), (2, -100), (3, -100)) v(a, b)) GROUP BY 1",
+    "plan_balance": _BALANCE,
+    "plan_shortfalls": "SELECT count(*) OVER () AS n_missing, (row_number() OVER (ORDER BY missing DESC, item_id) - 1)::INT AS rank, item_id, missing FROM (" + _BALANCE + ") WHERE missing > 0 QUALIFY rank < 12",
     "plan_costs": _with() + "SELECT (anchor % 5)::INT AS query_id, sum(cost * (anchor_amt % 4))::BIGINT AS objective, sum(CASE WHEN recipe_id >= 0 THEN anchor_amt % 4 ELSE 0 END)::BIGINT AS real_exec, sum(CASE WHEN recipe_id < 0 THEN anchor_amt % 4 ELSE 0 END)::BIGINT AS tag_exec, count(*) AS distinct_recipes FROM recipes WHERE anchor_amt % 4 > 0 GROUP BY 1",
     "name_tokens": "WITH" + _NAMES + "SELECT token, count(*) AS uses, count(DISTINCT handle) AS entries FROM (SELECT handle, unnest(regexp_extract_all(lower(resource_id), '[a-z0-9]+')) AS token FROM names) GROUP BY 1",
     "names_ambiguous": "WITH" + _NAMES + "SELECT lower(name_en) AS alias, min(handle) AS handle, count(*) AS entries FROM names GROUP BY 1",
@@ -189,4 +274,30 @@ s AS (SELECT query_id, handle, CASE WHEN b > 0 THEN CASE WHEN b = 1 AND n = 1 AN
 best AS (SELECT query_id, handle, min((kind, field, pos)) AS k FROM s GROUP BY 1, 2),
 r AS (SELECT query_id, handle, k[1] AS kind, row_number() OVER (PARTITION BY query_id ORDER BY k, handle) AS rank FROM best)
 SELECT query_id::INT AS query_id, rank::INT AS rank, handle, kind FROM r WHERE rank <= 50""",
+    "per_unit_pairs": _with(_NORMAL, """
+unit AS (SELECT r.recipe_id, s.recipe_id AS dominator, count(*) AS hits, bool_or(s.amount * ra.anchor_amt < r.amount * sa.anchor_amt) AS less FROM cin r JOIN sized ra ON ra.recipe_id = r.recipe_id JOIN cin s ON r.anchor = s.anchor AND r.item_id = s.item_id AND r.recipe_id <> s.recipe_id JOIN sized sa ON sa.recipe_id = s.recipe_id WHERE s.amount * ra.anchor_amt <= r.amount * sa.anchor_amt GROUP BY 1, 2
+  UNION ALL SELECT r.recipe_id, s.recipe_id, 0, false FROM sized r JOIN sized s ON r.anchor = s.anchor AND r.recipe_id <> s.recipe_id WHERE s.n = 0)""") + "SELECT h.recipe_id, h.dominator FROM unit h JOIN sized r ON r.recipe_id = h.recipe_id JOIN sized s ON s.recipe_id = h.dominator WHERE h.hits = s.n AND NOT s.selfish AND s.cost * r.anchor_amt <= r.cost * s.anchor_amt AND (h.less OR r.n > s.n OR s.cost * r.anchor_amt < r.cost * s.anchor_amt)",
+    "repaired_marks": _with() + "SELECT recipe_id FROM recipes r WHERE anchor_amt < 30 AND recipe_id >= 0 AND NOT (recipe_id = (SELECT min(recipe_id) FROM recipes s WHERE s.anchor = r.anchor) AND (SELECT max(anchor_amt) FROM recipes s WHERE s.anchor = r.anchor) < 30)",
+    "usable_marks": _with(_NORMAL) + "SELECT (s.item_id % 3)::INT AS query_id, count(DISTINCT p.recipe_id) AS n_recipes FROM pairs p JOIN cstations s ON s.recipe_id = dominator WHERE dominator NOT IN (SELECT recipe_id FROM pairs) GROUP BY 1",
+    "tag_budget": _with() + "SELECT tag::INT AS tag, k, pairs::BIGINT AS pairs, pairs <= 100000 AND k <= 1024 AS admitted FROM (SELECT tag, k, sum(k * k) OVER (ORDER BY k, tag) AS pairs FROM (SELECT tag, count(*) AS k FROM tags GROUP BY 1))",
+    "exclusive_items": _with() + "SELECT member::INT AS item_id, tag::INT AS tag FROM tags WHERE tag IN (SELECT item_id FROM inputs WHERE recipe_id >= 0) AND member NOT IN (SELECT item_id FROM inputs WHERE recipe_id >= 0)",
+    "tag_exclusive": _with("""
+ex AS (SELECT member AS item_id, tag FROM tags WHERE tag IN (SELECT item_id FROM inputs WHERE recipe_id >= 0) AND member NOT IN (SELECT item_id FROM inputs WHERE recipe_id >= 0)),
+paid AS (SELECT r.recipe_id, e.tag, r.anchor_amt, sum(i.amount) AS paid FROM recipes r JOIN ex e ON e.item_id = r.anchor JOIN inputs i ON i.recipe_id = r.recipe_id LEFT JOIN tags m ON m.member = i.item_id WHERE r.recipe_id >= 0 AND (m.tag = e.tag OR i.item_id = e.tag) GROUP BY 1, 2, 3)""") + "SELECT recipe_id, tag::INT AS tag FROM paid WHERE anchor_amt <= paid",
+    "closed_islands": _with("""
+targets AS (SELECT * FROM (VALUES (0, 1), (1, 2), (2, 3)) t(query_id, item_id)),
+edges AS (SELECT DISTINCT o.item_id, i.item_id AS other FROM outputs o JOIN inputs i USING (recipe_id)),
+needed AS (SELECT query_id, item_id FROM targets UNION SELECT w.query_id, e.other FROM needed w JOIN edges e USING (item_id)),
+touches AS (SELECT recipe_id, item_id FROM outputs UNION SELECT recipe_id, item_id FROM inputs),
+sizes AS (SELECT recipe_id, count(*) AS n FROM touches GROUP BY 1),
+hit AS (SELECT query_id, recipe_id, count(*) AS hits FROM needed JOIN touches USING (item_id) GROUP BY 1, 2)""", recursive=True) + "SELECT query_id::INT AS query_id, count(*) AS n_recipes FROM hit JOIN sizes USING (recipe_id) WHERE hits = n GROUP BY 1",
+    "cost_bounds": _with() + "SELECT item_id::BIGINT AS query_id, min(((100 + coef - 1) // coef) * cost)::BIGINT AS bound FROM (SELECT recipe_id, item_id, sum(x)::BIGINT AS coef FROM (SELECT recipe_id, item_id, amount AS x FROM outputs UNION ALL SELECT recipe_id, item_id, -amount FROM inputs) GROUP BY 1, 2) JOIN recipes USING (recipe_id) WHERE coef > 0 GROUP BY 1",
+    "component_of_first": _with("""
+edges AS (SELECT DISTINCT o.item_id AS a, i.item_id AS b FROM outputs o JOIN inputs i USING (recipe_id)),
+down AS (SELECT 1::BIGINT AS item_id UNION SELECT e.b FROM down d JOIN edges e ON e.a = d.item_id),
+up AS (SELECT 1::BIGINT AS item_id UNION SELECT e.a FROM up d JOIN edges e ON e.b = d.item_id)""", recursive=True) + "SELECT item_id::INT AS item_id FROM down JOIN up USING (item_id)",
+    "inventories": "SELECT p_brand, count(*) FILTER (p_partkey % 8 IN (0, 7)) AS bad, sum(p_size) FILTER (p_partkey % 8 NOT IN (0, 7))::BIGINT AS amount FROM part GROUP BY 1",
+    "report_summary": """WITH truth AS (SELECT o_custkey, min(o_orderkey) % 2 = 0 AS true_feasible, min(o_totalprice) AS best_cost FROM orders WHERE o_custkey % 4 <> 0 GROUP BY 1),
+r AS (SELECT o.*, true_feasible, best_cost, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 101 WHEN o_orderkey % 3 = 1 THEN o_orderkey % 103 ELSE 1 END AS ms FROM orders o LEFT JOIN truth USING (o_custkey))
+SELECT o_orderpriority AS config, count(*) AS n, count(*) FILTER (o_orderstatus = 'O') AS feasible, count(*) FILTER (o_orderstatus = 'O' AND o_orderkey % 2 = 0) AS proven, count(*) FILTER (o_orderstatus = 'O' AND o_orderkey % 2 = 1) AS unproven, count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS no_answer, count(*) FILTER (o_orderstatus IN ('O', 'F') AND true_feasible IS NOT NULL) AS compared, count(*) FILTER (o_orderstatus IN ('O', 'F') AND (o_orderstatus = 'O') = true_feasible) AS agree, count(*) FILTER (o_orderstatus = 'O' AND NOT true_feasible) AS false_positive, median(ms)::DOUBLE AS plan_ms, round(median(CASE WHEN o_orderstatus = 'O' AND best_cost > 0 THEN o_totalprice / best_cost END), 6)::DOUBLE AS cost_ratio FROM r GROUP BY 1""",
 }

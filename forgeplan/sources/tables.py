@@ -53,8 +53,9 @@ def inventory(df: DataFrame, column: str, n_items: int) -> DataFrame:
 
 def results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Result rows of JSON lines; malformed lines, such as a torn last one, are left out."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path)
-    return rows.where("_corrupt IS NULL").drop("_corrupt")
+    parsed = F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
+    rows = spark.read.text(path).where("trim(value) <> ''").select(parsed.alias("r"))
+    return rows.where("r IS NOT NULL AND r._corrupt IS NULL").select("r.*").drop("_corrupt")
 
 
 def missing_points(points: DataFrame, done: DataFrame, key: list[str] = KEY) -> DataFrame:
