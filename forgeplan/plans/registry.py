@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import folded, tokens
-from ..operators import balance, components, dominance, normalize, planner, reach, reports, search, tags
+from ..operators import balance, components, composite, dominance, normalize, planner, reach, reports, search, tags
 from ..sources import derived, tables
 from ..sources.derived import Graph, graph
 
@@ -134,6 +134,15 @@ def per_unit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance.per_unit_pairs(_normal(spark, sf_dir))
 
 
+def composite_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return composite.composite_pairs(_normal(spark, sf_dir))
+
+
+def composite_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = composite.composite_marks(_normal(spark, sf_dir))
+    return marks.select("recipe_id", "guard", F.size("stations").alias("n_stations"))
+
+
 def repaired_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recipes that are still marked after an item all of whose producers give fewer than thirty units has its first back."""
     g = graph(spark, sf_dir)
@@ -212,7 +221,7 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.summary(reports.with_truth(reports.derived(rows), truth, ["o_custkey"]), ["config"]).withColumn("cost_ratio", F.round("cost_ratio", 6))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (graph_counts, net_columns, leaf_items, useful_recipes, canonical_recipes, direct_pairs, direct_dominance, producer_stats, item_degrees, reachable, reachable_items, needed_items, seed_closure, plan_balance, plan_costs, name_tokens, name_search, names_ambiguous, per_unit_pairs, repaired_marks, usable_marks, tag_budget, exclusive_items, tag_exclusive, closed_islands, cost_bounds, component_of_first, component_statistics, plan_statuses, plan_shortfalls, inventories, report_summary)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (graph_counts, net_columns, leaf_items, useful_recipes, canonical_recipes, direct_pairs, direct_dominance, producer_stats, item_degrees, reachable, reachable_items, needed_items, seed_closure, plan_balance, plan_costs, name_tokens, name_search, names_ambiguous, per_unit_pairs, composite_pairs, composite_marks, repaired_marks, usable_marks, tag_budget, exclusive_items, tag_exclusive, closed_islands, cost_bounds, component_of_first, component_statistics, plan_statuses, plan_shortfalls, inventories, report_summary)}
 
 _NORMAL = """
 eaten AS (SELECT o.recipe_id, bool_or(o.amount > coalesce(i.amount, 0)) AS gains FROM outputs o LEFT JOIN inputs i USING (recipe_id, item_id) GROUP BY 1),
@@ -277,6 +286,17 @@ SELECT query_id::INT AS query_id, rank::INT AS rank, handle, kind FROM r WHERE r
     "per_unit_pairs": _with(_NORMAL, """
 unit AS (SELECT r.recipe_id, s.recipe_id AS dominator, count(*) AS hits, bool_or(s.amount * ra.anchor_amt < r.amount * sa.anchor_amt) AS less FROM cin r JOIN sized ra ON ra.recipe_id = r.recipe_id JOIN cin s ON r.anchor = s.anchor AND r.item_id = s.item_id AND r.recipe_id <> s.recipe_id JOIN sized sa ON sa.recipe_id = s.recipe_id WHERE s.amount * ra.anchor_amt <= r.amount * sa.anchor_amt GROUP BY 1, 2
   UNION ALL SELECT r.recipe_id, s.recipe_id, 0, false FROM sized r JOIN sized s ON r.anchor = s.anchor AND r.recipe_id <> s.recipe_id WHERE s.n = 0)""") + "SELECT h.recipe_id, h.dominator FROM unit h JOIN sized r ON r.recipe_id = h.recipe_id JOIN sized s ON s.recipe_id = h.dominator WHERE h.hits = s.n AND NOT s.selfish AND s.cost * r.anchor_amt <= r.cost * s.anchor_amt AND (h.less OR r.n > s.n OR s.cost * r.anchor_amt < r.cost * s.anchor_amt)",
+    "composite_pairs": _with(_NORMAL, """
+cnet AS (SELECT recipe_id, item_id, sum(x)::BIGINT AS coef FROM (SELECT recipe_id, anchor AS item_id, anchor_amt AS x FROM canon UNION ALL SELECT recipe_id, item_id, -amount FROM inputs WHERE recipe_id IN (SELECT recipe_id FROM canon) AND amount > 0) GROUP BY 1, 2 HAVING sum(x) <> 0),
+sib AS (SELECT r.anchor AS x, r.recipe_id AS r, s.recipe_id AS s, r.cost AS r_cost, s.cost AS s_cost FROM sized r JOIN sized s ON r.anchor = s.anchor AND r.recipe_id <> s.recipe_id WHERE NOT s.selfish),
+asked AS (SELECT recipe_id AS r, item_id AS y, amount AS q FROM cin, n WHERE item_id <= n_parts + n_supp),
+ways AS (SELECT a.r, a.y, m.recipe_id AS w, ((q + m.anchor_amt - 1) // m.anchor_amt) AS t, m.cost AS m_cost FROM asked a JOIN sized m ON m.anchor = a.y),
+u AS (SELECT r, y, w, item_id, sum(coef) AS u FROM (SELECT ways.r, y, w, item_id, coef FROM ways JOIN cnet ON cnet.recipe_id = ways.r UNION ALL SELECT ways.r, y, w, item_id, coef * t FROM ways JOIN cnet ON cnet.recipe_id = w) GROUP BY 1, 2, 3, 4),
+idle AS (SELECT r, y, w FROM u GROUP BY 1, 2, 3 HAVING max(u) <= 0),
+cases AS (SELECT x, sib.r, y, w, s, s_cost <= t * m_cost + r_cost AS cheap FROM ways JOIN sib ON sib.r = ways.r),
+above AS (SELECT c.r, c.y, c.w, c.s FROM cases c JOIN u ON u.r = c.r AND u.y = c.y AND u.w = c.w LEFT JOIN cnet v ON v.recipe_id = c.s AND v.item_id = u.item_id WHERE u.u > coalesce(v.coef, 0)
+  UNION SELECT c.r, c.y, c.w, c.s FROM cases c JOIN cnet v ON v.recipe_id = c.s LEFT JOIN u ON u.r = c.r AND u.y = c.y AND u.w = c.w AND u.item_id = v.item_id WHERE v.coef < 0 AND u.u IS NULL),
+open AS (SELECT c.x, c.r, c.y, c.s FROM cases c LEFT JOIN idle i ON i.r = c.r AND i.y = c.y AND i.w = c.w LEFT JOIN above a ON a.r = c.r AND a.y = c.y AND a.w = c.w AND a.s = c.s WHERE i.r IS NULL AND (a.r IS NOT NULL OR NOT c.cheap))""") + "SELECT x::INT AS item_id, sib.r AS recipe_id, a.y::INT AS guard, sib.s AS dominator FROM sib JOIN asked a ON a.r = sib.r ANTI JOIN open o ON o.x = sib.x AND o.r = sib.r AND o.y = a.y AND o.s = sib.s",
     "repaired_marks": _with() + "SELECT recipe_id FROM recipes r WHERE anchor_amt < 30 AND recipe_id >= 0 AND NOT (recipe_id = (SELECT min(recipe_id) FROM recipes s WHERE s.anchor = r.anchor) AND (SELECT max(anchor_amt) FROM recipes s WHERE s.anchor = r.anchor) < 30)",
     "usable_marks": _with(_NORMAL) + "SELECT (s.item_id % 3)::INT AS query_id, count(DISTINCT p.recipe_id) AS n_recipes FROM pairs p JOIN cstations s ON s.recipe_id = dominator WHERE dominator NOT IN (SELECT recipe_id FROM pairs) GROUP BY 1",
     "tag_budget": _with() + "SELECT tag::INT AS tag, k, pairs::BIGINT AS pairs, pairs <= 100000 AND k <= 1024 AS admitted FROM (SELECT tag, k, sum(k * k) OVER (ORDER BY k, tag) AS pairs FROM (SELECT tag, count(*) AS k FROM tags GROUP BY 1))",

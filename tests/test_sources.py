@@ -172,3 +172,10 @@ def test_reports(spark):
     truth = spark.createDataFrame([("a", True, 10)], "k string, true_feasible boolean, best_cost long")
     r = reports.summary(reports.with_truth(reports.derived(rows), truth, ["k"]), ["k"]).first()
     assert (r.n, r.feasible, r.proven, r.unproven, r.no_answer, r.compared, r.agree, r.false_positive, r.plan_ms, r.cost_ratio) == (4, 2, 1, 1, 1, 3, 2, 0, 3.5, 2.0)
+
+
+def test_readings(spark, tmp_path):
+    from forgeplan.sources.readings import readings
+
+    (tmp_path / "p.txt").write_text("# head\nU+77F3: shí,dàn  # 石\nU+5973: nǚ,rǔ,nǜ  # 女\nU+0041: a\nU+884C: háng, xíng\nbad\n", encoding="utf-8")
+    assert {r.character: r.readings for r in readings(spark, str(tmp_path / "p.txt")).collect()} == {"石": ["shi", "dan"], "女": ["nv", "nu", "ru"], "行": ["hang", "xing"]}
