@@ -197,7 +197,7 @@ def plan_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     stock = targets.withColumn("amount", F.lit(1).cast("long")).limit(0)
     status, runs = planner.plan(g, targets.withColumn("amount", F.lit(100).cast("long")), stations, stock)
     uses = runs.groupBy("query_id").agg(F.count("*").alias("n_recipes"))
-    return status.join(uses, "query_id", "left").select("query_id", "status", "objective", F.coalesce("n_recipes", F.lit(0)).alias("n_recipes"))
+    return status.join(uses, "query_id", "left").select("query_id", "status", "proven_optimal", "objective", "best_bound", F.coalesce("n_recipes", F.lit(0)).alias("n_recipes"))
 
 
 def plan_shortfalls(spark: SparkSession, sf_dir: str) -> DataFrame:
