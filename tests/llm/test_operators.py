@@ -258,3 +258,35 @@ def test_substrings(spark, edge, empty):
     own = next(r for r in rows if r.doc_id == 0)
     assert (own.start_word, own.end_word) == (80, 140)
     assert substrings.passages(edge).count() == 0 and substrings.passages(empty).count() == 0
+
+
+def test_runs_mark_every_stretch_by_its_content():
+    rng = np.random.default_rng(2)
+    h, rows = rng.integers(0, 9, 400).astype(np.uint64), np.repeat([0, 1], [150, 250])
+    h[200:260] = h[20:80]
+    key, at = substrings.runs(rows, h, 20)
+    for i in [*range(131), *range(150, 381)]:
+        assert any(i <= k <= i + 10 for k in at)
+    assert {(k - 20, x) for k, x in zip(at, key) if 31 <= k <= 60} == {(k - 200, x) for k, x in zip(at, key) if 211 <= k <= 240}
+
+
+def test_substrings_in_large_groups_and_at_every_place(spark):
+    rng = np.random.default_rng(8)
+    some = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n))
+    line = some(40)  # too short for a passage, held by many
+    texts = [f"{some(20)} {line} {some(20)}" for _ in range(300)]
+    for _ in range(15):  # two texts of the many share ten words more
+        tail = some(10)
+        texts += [f"{some(20)} {line} {tail} {some(20)}" for _ in range(2)]
+    twice, part = some(60), some(30)
+    texts += [f"{twice} {some(30)} {twice} {some(10)}", f"{some(5)} {twice} {some(70)}"]
+    whole = f"{part} {some(40)}"
+    texts += [f"{part} {some(200)} {whole} {some(9)}", f"{some(15)} {whole}"]
+    texts += [f"{some(9)} {some(60)}", *(f"{some(5)} {whole}" for _ in range(20))]
+    rows = substrings.passages(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
+    spans = {(r.doc_id, r.start_word, r.end_word): r.class_id for r in rows}
+    for k in range(300, 330, 2):
+        assert spans[k, 20, 70] == spans[k + 1, 20, 70] == k
+    assert not {r.doc_id for r in rows} & {*range(300), 334}
+    assert spans[330, 0, 60] == spans[330, 90, 150] == spans[331, 5, 65] == 330
+    assert spans[332, 230, 300] == spans[333, 15, 85] == spans[354, 5, 75] == 332
