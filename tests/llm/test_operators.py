@@ -290,3 +290,13 @@ def test_substrings_in_large_groups_and_at_every_place(spark):
     assert not {r.doc_id for r in rows} & {*range(300), 334}
     assert spans[330, 0, 60] == spans[330, 90, 150] == spans[331, 5, 65] == 330
     assert spans[332, 230, 300] == spans[333, 15, 85] == spans[354, 5, 75] == 332
+
+
+def test_near_passage_after_its_fragments(spark):
+    rng = np.random.default_rng(11)
+    some = lambda n: ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n)]
+    own = some(50)
+    near = [*own[:25], "changed", *own[26:]]
+    texts = [[*own[:25], *some(150), *own[26:], *some(150), *near, *some(9)], [*some(30), *own]]
+    rows = substrings.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], SCHEMA)).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.class_id) for r in rows} == {(0, 349, 399, 0), (1, 30, 80, 0)}
