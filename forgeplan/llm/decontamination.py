@@ -1,8 +1,9 @@
 r"""Benchmark decontamination by template canonicalisation, in DataFrame expressions.
 
 Texts become tokens (white space cut, punctuation trimmed). A token becomes a typed placeholder if it is a number, a
-unit after a number, or a name (capitalised inside a sentence); other tokens are lower-cased words. Windows of WINDOW
-template tokens are hashed and joined with the windows of all benchmark items. Each hit proposes an alignment of the
+unit after a number, or a name (capitalised inside a sentence); other tokens are lower-cased words. Windows of
+template tokens are hashed and joined with the windows of all benchmark items; their width is the longest run that an
+item of this length must keep whole when `share` of its tokens agree, WINDOW at most. Each hit proposes an alignment of the
 item with the text, which is then checked in full: the share of the item's tokens whose templates agree there, and
 whether the slots are filled consistently - every value of the item stands for one value of the text. An item with
 its numbers, names or units changed throughout is thus found, a text that merely looks like its template is not.
@@ -13,8 +14,7 @@ A Bloom filter of the benchmark's windows (PROBES of 16 bits a window, at most 2
 windows that are almost surely in the benchmark leave it. They meet the benchmark's windows in an exact hash join, which
 broadcasts these while they number `broadcast_windows` at most and shuffles both sides above.
 
-Cases: null or blank texts and items hold nothing; items of 4 to 7 tokens are sought by windows of 4, shorter ones
-are never reported; windows with more placeholders than words propose nothing; repeated documents and items are
+Cases: null or blank texts and items hold nothing; items of less than 4 tokens are never reported; windows with more placeholders than words propose nothing; repeated documents and items are
 reported once for each (doc_id, item_id); null ids are kept and compare equal; empty tables give an empty table.
 """
 
@@ -30,6 +30,8 @@ from .common import SPACE
 from .secrets import let
 
 WINDOW = 8
+#: The fewest tokens of an item.
+LEAST = 4
 #: Bits of the Bloom filter that each window sets.
 PROBES = 4
 #: Characters trimmed from tokens, and units.
@@ -67,11 +69,13 @@ def template(tokens: Column) -> Column:
 
 
 def windows(hashes: Column, width: int) -> Column:
-    """The hash of every window of `width` (a power of two) neighbours, by doubling."""
+    """The hash of every window of `width` neighbours, by doubling and, if it is no power of two, two that overlap."""
     def doubled(hashes: Column, step: int) -> Column:
         return let(hashes, lambda a: F.transform(F.slice(a, F.lit(1), F.greatest(F.size(a) - step, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(a, i + step))))
 
-    return reduce(doubled, [1 << k for k in range(width.bit_length() - 1)], hashes)
+    steps = [1 << k for k in range(width.bit_length() - 1)]
+    rest = width - (1 << len(steps))
+    return reduce(doubled, [*steps, rest] if rest else steps, hashes)
 
 
 def _sound(part: Column) -> Column:
@@ -97,31 +101,36 @@ def contains(filter_: Column, slots: int, window: Column) -> Column:
     return out
 
 
-def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+def _items(benchmark: DataFrame, item_col: str, text_col: str, share: float) -> DataFrame:
     df = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("t")).where(F.col("t").isNotNull()).distinct()
     df = df.withColumn("item_raw", tokens(F.col("t"))).withColumn("item_template", template(F.col("item_raw")))
-    width = F.when(F.size("item_raw") >= WINDOW, WINDOW).otherwise(WINDOW // 2)
-    return df.withColumn("width", width).where(F.size("item_raw") >= WINDOW // 2).withColumn("item_key", F.xxhash64("item_id", "t")).drop("t")
+    n = F.size("item_raw")
+    agree = F.ceil(share * n - F.lit(1e-9))
+    width = F.least(F.lit(WINDOW), F.ceil(agree / (n - agree + 1))).cast("int")
+    return df.where(n >= LEAST).withColumn("width", width).withColumn("item_key", F.xxhash64("item_id", "t")).drop("t")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = 1_000_000) -> DataFrame:
     """(doc_id, text_hash, item_id, covered, start, exact) for every document and item that it holds."""
-    items = _items(benchmark, item_col, item_text_col)
-    made = {w: items.where(F.col("width") == w).select("item_key", "width", "item_template", F.posexplode(windows(F.col("item_template"), w)).alias("item_at", "window")).where(_sound(F.slice("item_template", F.col("item_at") + 1, w))).select("window", "item_key", "item_at") for w in (WINDOW, WINDOW // 2)}
+    items = _items(benchmark, item_col, item_text_col, share)
+    made = {w: items.where(F.col("width") == w).select("item_key", "width", "item_template", F.posexplode(windows(F.col("item_template"), w)).alias("item_at", "window")).where(_sound(F.slice("item_template", F.col("item_at") + 1, w))).select("window", "item_key", "item_at") for w in range(1, WINDOW + 1)}
+    widths = [r["width"] for r in items.select("width").distinct().collect()]  # WINDOW at most
+    made = {w: made[w] for w in sorted(widths) or [WINDOW]}
     sizes = {w: df.count() for w, df in made.items()}
     small = sum(sizes.values()) <= broadcast_windows
     hint = F.broadcast if small else (lambda df: df)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     base = base.withColumn("text_hash", F.xxhash64("_text")).withColumn("raw", tokens(F.col("_text"))).drop("_text").withColumn("template", template(F.col("raw")))
-    hits = None
-    for w in (w for w in made if sizes[w] or w == WINDOW):
+    found = []  # all widths in one pass over the tokens
+    for w in made:
         slots = 1 << max(10, min(18, math.ceil(math.log2(max(1, sizes[w]) / 4))))
         filter_ = bloom(made[w], slots)
-        some = let(filter_, lambda f: let(windows(F.col("template"), w), lambda a: F.transform(F.filter(F.transform(a, lambda h, i: F.when(contains(f, slots, h), i)), lambda i: i.isNotNull()), lambda i: F.struct(i.alias("at"), F.get(a, i).alias("window")))))  # noqa: B023
-        # outer: the filter that Spark infers from an inner explode would compute the windows twice
-        own = base.withColumn("some", some).select("doc_id", "text_hash", "raw", "template", F.explode_outer("some").alias("x")).where("x is not null")
-        own = own.select("doc_id", "text_hash", "raw", "template", "x.at", "x.window").join(hint(made[w]), "window").withColumn("start", F.col("at") - F.col("item_at")).drop("at", "item_at", "window")
-        hits = own if hits is None else hits.unionByName(own)
+        found.append(let(filter_, lambda f: let(windows(F.col("template"), w), lambda a: F.transform(F.filter(F.transform(a, lambda h, i: F.when(contains(f, slots, h), i)), lambda i: i.isNotNull()), lambda i: F.struct(i.alias("at"), F.lit(w).alias("width"), F.get(a, i).alias("window"))))))  # noqa: B023
+    # outer: the filter that Spark infers from an inner explode would compute the windows twice
+    own = base.withColumn("some", F.concat(*found)).select("doc_id", "text_hash", "raw", "template", F.explode_outer("some").alias("x")).where("x is not null")
+    own = own.select("doc_id", "text_hash", "raw", "template", "x.at", "x.width", "x.window")
+    sought = reduce(DataFrame.unionByName, [made[w].withColumn("width", F.lit(w)) for w in made])
+    hits = own.join(hint(sought), ["width", "window"]).withColumn("start", F.col("at") - F.col("item_at")).drop("at", "item_at", "width", "window")
     hits = hits.join(hint(items.select("item_key", F.size("item_raw").alias("n"))), "item_key")
     first = F.greatest(F.col("start"), F.lit(0))
     cut = lambda c: F.slice(c, first + 1, F.col("n") - (first - F.col("start")))
@@ -130,7 +139,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, id_col: str
     hits = hits.join(hint(items.select("item_key", "item_id", "item_raw", "item_template")), "item_key")
     skip = F.greatest(-F.col("start"), F.lit(0))
     pair = F.transform("template", lambda t, i: F.struct((i + skip).alias("at"), t.alias("t"), F.get("raw", i).alias("doc"), F.get("item_raw", i + skip).alias("item"), F.get("item_template", i + skip).alias("it")))
-    same = F.filter(pair, lambda p: p["t"] == p["it"])
+    same = F.filter(pair, lambda p: (p["t"] == p["it"]) | (F.lower(p["doc"]) == F.lower(p["item"])))
     slots = F.array_distinct(F.transform(F.filter("same", lambda p: p["t"].isin(*[_mark(k) for k in ("number", "name", "unit")])), lambda p: F.struct(p["t"].alias("t"), F.lower(p["item"]).alias("item"), F.lower(p["doc"]).alias("doc"))))
     hits = hits.withColumn("same", same).withColumn("slots", slots)
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["t"], s["item"]))))

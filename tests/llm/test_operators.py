@@ -300,3 +300,27 @@ def test_near_passage_after_its_fragments(spark):
     texts = [[*own[:25], *some(150), *own[26:], *some(150), *near, *some(9)], [*some(30), *own]]
     rows = substrings.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], SCHEMA)).collect()
     assert {(r.doc_id, r.start_word, r.end_word, r.class_id) for r in rows} == {(0, 349, 399, 0), (1, 30, 80, 0)}
+
+
+def test_decontamination_finds_what_keeps_its_share(spark):
+    rng = np.random.default_rng(4)
+    some = lambda n: ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n)]
+    items, docs, want = [], [], set()
+    for n in (4, 5, 7, 8, 10, 15, 18, 22, 30):
+        item = some(n)
+        items.append((n, " ".join(item)))
+        for edits in range(n // 5 + 2):
+            for spaced in (True, False):  # changes at even distances leave the shortest runs
+                copy = list(item)
+                places = [(k + 1) * n // (edits + 1) for k in range(edits)] if spaced else rng.choice(n, edits, replace=False)
+                for k in places:
+                    copy[min(int(k), n - 1)] = some(1)[0]
+                docs.append((len(docs), " ".join([*some(12), *copy, *some(12)])))
+                if sum(a == b for a, b in zip(item, copy)) >= 0.8 * n:
+                    want.add((len(docs) - 1, n))
+    docs.append((len(docs), "A line without its point\nPlease " + items[3][1]))
+    items.append((100, "Please " + items[3][1]))
+    want |= {(len(docs) - 1, 8), (len(docs) - 1, 100)}
+    frame = spark.createDataFrame
+    got = {(r.doc_id, r.item_id) for r in decontamination.report(frame(docs, SCHEMA), frame(items, "item_id long, text string")).collect()}
+    assert {x for x in got if x[1] != 100 or x[0] == len(docs) - 1} == want
