@@ -21,29 +21,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one is set only where none is configured (local tests)."""
+    """The cluster's checkpoint folder; a temporary one is set only in local mode, and only where none is configured."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def _folder(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
 class Stage:
-    """A table written to the shared folder: lineage ends here, so lost executors cost a reread only."""
+    """A table written to the shared folder: lineage ends here, so lost executors cost a reread only.
+
+    Its folder goes with `drop`, or when the application ends.
+    """
 
     def __init__(self, df: DataFrame, name: str, *measures: Column):
         """`measures` are taken of the rows while they are written, and kept by name in `measured`."""
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         seen = Observation() if measures else None
+        fs, target = _folder(self.spark, self.path)
+        fs.deleteOnExit(target)
         (df.observe(seen, *measures) if seen else df).write.parquet(self.path)
         self.measured = seen.get if seen else {}
         self.schema = df.schema
@@ -53,14 +59,35 @@ class Stage:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
-        remove(self.spark, self.path)
+        fs, target = _folder(self.spark, self.path)
+        fs.delete(target, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read back. The folder's owner clears it after the application."""
+    """`df` written to the shared folder and read back."""
     return Stage(df, name).df
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """`name`, with underscores before it until no column has it (Spark's names have no case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def looked_up(rows: DataFrame, lookup: DataFrame, key: str, count: str, total: int, share: int = 1000) -> DataFrame:
+    """`rows` with the columns of `lookup`, which has one row a key and tells in `count` how many `rows` have it.
+
+    Rows of a key with more than one part in `share` of all `total` rows meet a broadcast copy of its row, so they
+    stay where they are; there are less than `share` such keys whatever the data. The others are joined by a shuffle.
+    """
+    hot = F.col(count) > max(total // share, 1)
+    few = F.broadcast(lookup.where(hot).drop(count))
+    cold = rows.join(few.select(key), key, "left_anti").join(lookup.where(~hot).drop(count), key)
+    return rows.join(few, key).unionByName(cold)
+
+
 def is_held_out(id_col: str = "doc_id") -> Column:
     """True for the rows whose labels no model may see."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))

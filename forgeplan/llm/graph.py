@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage
+from .common import Stage, looked_up
 
 
 def _written(e: DataFrame) -> Stage:
@@ -17,17 +17,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round is two grouped minima and joins, written to the shared folder. Links in a star about the smallest
     node are the fixed point; the number of rounds follows the logarithm of the longest chain, and no step
-    gathers a component in one task: minima are combined before the shuffle, joins are split by AQE where skewed.
+    gathers a component in one task: minima are combined before the shuffle, and the links of hot nodes, such as the
+    centre of a large star, stay where they are and meet a broadcast copy of the node's minimum (`looked_up`).
     """
     start = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = _written(start)
     while now.measured["n"]:
         e = now.df
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where(F.col("u") != F.col("v")).distinct()
+        n = now.measured["n"]
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = looked_up(both, low, "u", "n", 2 * n).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = looked_up(large, low, "u", "n", n).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where(F.col("u") != F.col("v")).distinct()
         after = _written(small)
         now.drop()
         now, done = after, after.measured == now.measured

@@ -1,36 +1,45 @@
 """Variable-capacity best-fit packing of texts into training sequences.
 
-Several sequence lengths are permitted, each at a cost (`cost`: linear in its length plus a quadratic part for
-attention plus a fixed part). Pieces are placed longest first, each into the open bin with the least room that holds
-it; where none does, the bin size with the least cost per place among those that hold the piece is opened. Since an
-early choice of size binds later pieces, every subset of sizes that ends at one of them (all sizes up to the k-th) is
-tried for opening, and the cheapest outcome is kept. Finally each bin is downsized to the smallest permitted length
-that holds its contents.
+Several sequence lengths are permitted, each at a cost (`cost`: linear in its length, plus a quadratic part for
+attention, plus a fixed part a sequence). Short sequences waste the fixed part and long ones the attention, so the
+cost a place is least at a length in between (2048 of SIZES). Pieces are placed longest first, each into the open bin
+with the least room that holds it; where none does, the least-cost bin size a place among the openable ones that hold
+the piece is opened. An early choice of size binds later pieces, so the sizes are chosen jointly: every subset of them
+is tried as the openable ones, each bin is finally downsized to the smallest permitted length that holds its
+contents, and the outcome of least cost is kept.
 
 Texts longer than the largest length are cut into pieces of that length and a rest; the full pieces fill bins of
-their own. Rests are dealt out by a hash of their id into groups of about `group_size` texts, which are packed
-separately: a group is one task's bounded work, and at some thousand texts the seams cost less than a bin a group.
-
-Lengths are words, or any integer column. Cases: null, empty and blank texts have no piece; repeated rows are packed
-as often as they occur; null ids are packed too; an empty table gives an empty table.
+their own. Each task packs its own rows, `group_size` rests at a time: nothing is shuffled, so no key or repeated row
+can gather in one task, a group is bounded work, and at some thousand rests the seams cost less than a bin a group.
+Bins are named by task, group and number, so their names are unique whatever the ids are.
+
+Lengths are words, or any integer column. Ids of any type are carried as they are. Cases: null, empty and blank texts
+have no piece; repeated rows are packed as often as they occur, each piece once; rows with a null id are packed too;
+equal lengths are placed in the order of the rows; an empty table gives an empty table; very long texts give as many
+full pieces as they hold, a batch of rows at a time; other columns are ignored unless kept by name, and `keep` may
+not name one of the result's own columns (ValueError).
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import SPACE
 
 SIZES = (1024, 2048, 4096)
 
 
-def cost(size: int, fixed: float = 64.0, window: float = 16384.0) -> float:
+def cost(size: int, fixed: float = 256.0, window: float = 16384.0) -> float:
+    """What a training step pays for a sequence of `size` places."""
     return fixed + size + size * size / window
 
 
@@ -60,16 +69,17 @@ def downsized(lengths: Sequence[int], bins: Sequence[int], sizes: Sequence[int])
 
 
 def pack(lengths: Sequence[int], sizes: Sequence[int] = SIZES) -> tuple[list[int], list[int]]:
-    """The bin of each length (given longest first) and the final size of each bin, at the least cost of all policies."""
+    """The bin of each length (given longest first) and the final size of each bin, at the least cost of all subsets of sizes."""
     if not len(lengths):
         return [], []
-    best = None
+    sizes, best = sorted(sizes), None
     for k in range(1, len(sizes) + 1):
-        bins, _ = best_fit(lengths, sizes, sizes[:k])
-        final = downsized(lengths, bins, sizes)
-        total = sum(map(cost, final))
-        if best is None or total < best[0]:
-            best = total, bins, final
+        for openable in combinations(sizes, k):
+            bins, _ = best_fit(lengths, sizes, openable)
+            final = downsized(lengths, bins, sizes)
+            total = sum(map(cost, final))
+            if best is None or total < best[0]:
+                best = total, bins, final
     return best[1], best[2]
 
 
@@ -79,23 +89,50 @@ def n_words(text: Column) -> Column:
 
 def packed(docs: DataFrame, sizes: Sequence[int] = SIZES, id_col: str = "doc_id", length: Column | None = None, group_size: int = 4096, keep: Sequence[str] = ()) -> DataFrame:
     """One row for each piece: (doc_id, piece, start, length, bin_id, bin_size, *keep); bins never cross groups."""
+    names = ["doc_id", "piece", "start", "length", "bin_id", "bin_size"]
+    if clash := set(names) & set(keep):
+        raise ValueError(f"columns of the result cannot be kept: {sorted(clash)}")
     sizes = sorted(sizes)
     top = sizes[-1]
     n = (n_words(F.col("text")) if length is None else length).cast("long")
-    count = docs.count()
-    groups = max(1, -(-count // group_size))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n"), *keep).where("n > 0")
-    pieces = rows.select("doc_id", *keep, F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / top).cast("int")), lambda i: F.struct(i.alias("piece"), (i * F.lit(top)).cast("long").alias("start"), F.least(F.lit(top), F.col("n") - i * F.lit(top)).cast("long").alias("length")))).alias("x")).select("doc_id", "x.*", *keep)
-    full = pieces.where(F.col("length") == top).withColumn("bin_id", F.concat_ws("-", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("piece").cast("string"))).withColumn("bin_size", F.lit(top).cast("long"))
-    rest = pieces.where(F.col("length") < top).withColumn("_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    names = ["doc_id", "piece", "start", "length", *keep, "bin_id", "bin_size"]
-    schema = full.select(*names).schema
-
-    def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        group = part["_group"][0].as_py()
-        bins, final = pack(part["length"].to_pylist(), sizes)
-        part = part.append_column("bin_id", pa.array([f"{group}-{b}" for b in bins], pa.string()))
-        return part.append_column("bin_size", pa.array([final[b] for b in bins], pa.int64())).select(names)
-
-    return full.select(*names).unionByName(rest.groupBy("_group").applyInArrow(run, schema))
+    rows = docs.select(F.col(id_col).alias("doc_id"), n.alias("n"), *keep).where("n > 0")
+    kinds = [LongType(), LongType(), LongType(), StringType(), LongType()]
+    schema = StructType([rows.schema["doc_id"], *(StructField(c, k) for c, k in zip(names[1:], kinds)), *(rows.schema[c] for c in keep)])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, group = TaskContext.get().partitionId(), 0
+
+        def made(part: pa.Table, piece: np.ndarray, size: np.ndarray, bins: list[str], final: np.ndarray) -> Iterator[pa.RecordBatch]:
+            own = [pa.array(piece), pa.array(piece * top), pa.array(size), pa.array(bins, pa.string()), pa.array(final)]
+            yield from pa.table([part.column(0), *own, *(part.column(2 + k) for k in range(len(keep)))], names=[*names, *keep]).to_batches(1 << 16)
+
+        def rests(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            n = part.column(1).to_numpy()
+            order = np.argsort(-(n % top), kind="stable")
+            part, n = part.take(pa.array(order)), n[order]
+            bins, final = pack((n % top).tolist(), sizes)
+            yield from made(part, n // top, n % top, [f"{task}-{group}-{b}" for b in bins], np.asarray(final, np.int64)[bins])
+
+        held: list[pa.Table] = []
+        n_held, n_full = 0, 0
+        for batch in parts:
+            part = pa.Table.from_batches([batch])
+            n = part.column(1).to_numpy()
+            count = n // top
+            for at in range(0, len(n), 4096):  # full pieces, each a bin
+                some = count[at : at + 4096]
+                of = np.repeat(np.arange(at, at + len(some)), some)
+                if len(of):
+                    piece = np.arange(len(of)) - np.repeat(np.cumsum(some) - some, some)
+                    yield from made(part.take(pa.array(of)), piece, np.full(len(of), top), [f"{task}-full-{k}" for k in range(n_full, n_full + len(of))], np.full(len(of), top))
+                    n_full += len(of)
+            held.append(part.filter(pa.array(n % top > 0)))
+            n_held += held[-1].num_rows
+            while n_held >= group_size:
+                whole = pa.concat_tables(held)
+                yield from rests(whole.slice(0, group_size))
+                held, n_held, group = [whole.slice(group_size)], n_held - group_size, group + 1
+        if n_held:
+            yield from rests(pa.concat_tables(held))
+
+    return rows.mapInArrow(run, schema)

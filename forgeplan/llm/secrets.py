@@ -1,29 +1,39 @@
 r"""Secret scans in DataFrame expressions: known forms, and a battery of randomness tests over other long runs.
 
 Known forms (kinds `assign`, `access`, `hex`) are the leftmost matches of their patterns. Other runs of 20 or more
-characters of a base64-like alphabet are tested: the encoding is inferred from the character classes a run uses (hex,
-or the sum of the classes' sizes), and three statistics are taken over its n characters of an alphabet of k:
-
-- chi-squared distance from the uniform alphabet, whose law for ordinary writing (coincidence index KAPPA) gives the
-  p-value that an ordinary run looks as even as this one; for uniform runs it must not be too large either;
-- the number of runs of one character class against its law for a random order;
-- the lag-one serial correlation of alphabet places.
-
-Runs must pass all tests of randomness at |z| < LIMIT, and their p-value must pass Benjamini-Hochberg control of the
-false discovery rate within their length class (doublings of 20), taken over the candidates of the whole table from a
-histogram of at most CLASSES * BINS counts. Runs of digits or of letters of one case only, and runs that touch a known form, are not flagged.
+characters of a base64-like alphabet are tested, unless they lie within a known form: the encoding is inferred from
+the character classes a run uses (hex, or the sum of the classes' sizes), and a battery is taken over its n characters
+of an alphabet of k:
+
+- chi-squared distance from the uniform alphabet, against its law for uniform runs and for ordinary writing
+  (coincidence index KAPPA);
+- the number of runs of one character class against its law for a random order (letters of one case: of vowels);
+- the lag-one serial correlation of alphabet places;
+- for letters of one case also the share of vowels against that of ordinary writing.
+
+The battery gives two p-values. `structure` is that of a random run (chi-squared too large, runs and serial
+correlation to either side: Bonferroni's combination of the three); `ordinary` is that of ordinary writing (chi-squared
+as small, and for letters of one case as few vowels: Fisher's combination). A run is reported if ordinary writing is
+rejected and randomness is not. Both rejections are Benjamini-Hochberg controls of the false discovery rate within a
+class of lengths (doublings of 20; runs of one character class have their own classes), taken over the candidates of
+the whole table from a histogram of at most 2 * CLASSES * BINS * BINS counts.
 
 Positions are code points, ends exclusive. Cases: null and empty texts have no span; repeated rows and ids keep their
-rows; null ids are kept; an empty table gives an empty table; very long runs and texts are scanned whole.
+rows; null ids are kept, and ids may have any type; spans that start together are ordered by kind; an empty table
+gives an empty table; very long runs and texts are scanned whole; columns of `docs` stay as they are, whatever their
+names, but for `spans` in `with_spans` and the text in `redacted`.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: The known forms, each with the group whose length counts and its least length.
 KINDS = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -31,8 +41,12 @@ KINDS = {
     "hex": (r"[0-9a-f]{16,}", 0, 16),
 }
 RUN = r"[A-Za-z0-9+/_-]{20,}+={0,2}"
-KAPPA, KAPPA_HEX, LIMIT = 0.066, 0.14, 3.3
+#: The coincidence index of ordinary writing, of ordinary runs of few symbols, and the share of vowels in writing.
+KAPPA, KAPPA_FEW, VOWELS = 0.066, 0.14, 0.38
+#: Length classes, and tenths of the decimal logarithm of a p-value.
 CLASSES, BINS = 16, 200
+#: The rates of false discoveries: of structure, and the part of `rate` that runs of one character class may have.
+STRUCTURE, ONE_CLASS = 0.001, 0.1
 SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
 
@@ -64,9 +78,21 @@ def matches(text: Column, pattern: str, kind: int, group: int, least: int, block
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
-def normal_cdf(z: Column) -> Column:
-    """Logistic approximation of the normal law."""
-    return 1 / (1 + F.exp(-1.5976 * z - 0.070565 * z * z * z))
+def normal_tail(z: Column) -> Column:
+    """The normal law's lower tail at -|z|, to a part in a thousand at any distance.
+
+    Up to 3 it is a polynomial's reciprocal power (a classic rational fit of erfc), beyond the asymptotic series.
+    """
+    x = F.abs(z)
+    u = x / math.sqrt(2)
+    power = 1 + u * (0.0705230784 + u * (0.0422820123 + u * (0.0092705272 + u * (0.0001520143 + u * (0.0002765672 + u * 0.0000430638)))))
+    far = F.exp(-x * x / 2) / (x * math.sqrt(2 * math.pi)) * (1 - 1 / (x * x) + 3 / F.pow(x, F.lit(4.0)) - 15 / F.pow(x, F.lit(6.0)) + 105 / F.pow(x, F.lit(8.0)))
+    return F.when(x < 3, 0.5 * F.pow(power, F.lit(-16.0))).otherwise(far)
+
+
+def lower(z: Column) -> Column:
+    """The probability of a normal deviation of z or less."""
+    return F.when(z < 0, normal_tail(z)).otherwise(1 - normal_tail(z))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -104,61 +130,94 @@ def serial_z(places: Column, n: Column) -> Column:
 
 
 def randomness(value: Column) -> Column:
-    """struct(n, p, random): the p-value of ordinary writing, and whether no test speaks against a random run."""
+    """struct(n, one, structure, ordinary): the length, whether one character class is used, and the battery's p-values."""
 
     def of(plain: Column, chars: Column, hexed: Column) -> Column:
         n = F.size(chars).cast("double")
         size = lambda klass, k: F.when(plain.rlike(klass), float(k)).otherwise(0.0)
         k = F.when(hexed, 16.0).otherwise(size("[a-z]", 26) + size("[A-Z]", 26) + size("[0-9]", 10) + size("[+/_-]", 2))
-        kinds = F.transform(chars, lambda c: F.when(hexed, c.rlike("[0-9]")).otherwise(c.rlike("[a-z]")).cast("double"))
+        letters, digits = plain.rlike("^([a-z]+|[A-Z]+)$"), plain.rlike("^[0-9]+$")
+        kind = F.when(digits, "56789").when(hexed, "0123456789").when(letters, "aeiouAEIOU").otherwise("abcdefghijklmnopqrstuvwxyz")
+        one = let(kind, lambda c: F.transform(chars, lambda x: (F.instr(c, x) > 0).cast("double")))
         places = F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c).cast("double"))
-        even = let(k, lambda k: even_z(chars, n, k, k * F.when(hexed, KAPPA_HEX).otherwise(KAPPA) - 1))
-        return let(even, lambda e: F.struct(n.alias("n"), F.greatest(normal_cdf(e["natural"]), F.lit(1e-19)).alias("p"), (
-            (F.abs(let(kinds, lambda x: runs_z(x, n))) < LIMIT) & (F.abs(let(places, lambda x: serial_z(x, n))) < LIMIT) & (e["even"] < LIMIT) & ~plain.rlike("^([0-9]+|[a-z]+|[A-Z]+)$")
-        ).alias("random")))
+        kappa = F.when(hexed | digits, KAPPA_FEW).otherwise(KAPPA)
+        even = let(F.when(digits, 10.0).otherwise(k), lambda k: even_z(chars, n, k, k * kappa - 1))
 
-    return let(F.rtrim(value, F.lit("=")), lambda plain: let(F.filter(F.split(plain, ""), lambda c: c != ""), lambda chars: let(plain.rlike("^([0-9a-f]+|[0-9A-F]+)$"), lambda hexed: of(plain, chars, hexed))))
+        def judged(e: Column, runs: Column, serial: Column, share: Column) -> Column:
+            structure = F.least(F.lit(1.0), 3 * F.least(lower(-e["even"]), 2 * normal_tail(runs), 2 * normal_tail(serial)))
+            ordinary = F.when(letters, let(lower(e["natural"]) * lower((share - VOWELS) * F.sqrt(n / (VOWELS * (1 - VOWELS)))), lambda p: p * (1 - F.log(F.greatest(p, F.lit(1e-300)))))).otherwise(lower(e["natural"]))
+            return F.struct(n.alias("n"), (letters | digits).alias("one"), F.greatest(structure, F.lit(1e-19)).alias("structure"), F.greatest(ordinary, F.lit(1e-19)).alias("ordinary"))
 
+        return let(even, lambda e: let(one, lambda x: let(runs_z(x, n), lambda r: let(places, lambda at: let(serial_z(at, n), lambda c: judged(e, r, c, _sum(x) / n))))))
 
-def _scanned(docs: DataFrame, text_col: str) -> DataFrame:
-    """Adds `_base` (known spans) and `_runs` (tested runs that touch none, with length class and bin)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    return let(F.rtrim(value, F.lit("=")), lambda plain: let(F.filter(F.split(plain, ""), lambda c: c != ""), lambda chars: let(plain.rlike("^([0-9a-f]+|[0-9A-F]+)$") & ~plain.rlike("^[0-9]+$"), lambda hexed: of(plain, chars, hexed))))
+
+
+def _bin(p: Column) -> Column:
+    return F.least(F.lit(BINS - 1), F.floor(-10 * F.log10(p))).cast("int")
+
+
+def scan(text: Column) -> Column:
+    """struct(base, runs): known spans, and tested runs that lie within none, with class and bins."""
     base = F.array_sort(F.concat(*(matches(text, p, i, g, n) for i, (p, g, n) in enumerate(KINDS.values()))))
-    df = docs.withColumn("_base", base).withColumn("_runs", matches(text, RUN, len(KINDS), 0, 20))
-    free = F.filter("_runs", lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    tested = F.transform(free, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), randomness(r["value"]).alias("t")))
-    return df.withColumn("_runs", F.transform(tested, lambda r: F.struct(
-        r["start"].alias("start"), r["end"].alias("end"), r["t"]["random"].alias("random"),
-        F.least(F.lit(CLASSES - 1), F.floor(F.log2(F.greatest(r["t"]["n"], F.lit(20.0)) / 20))).cast("int").alias("class"),
-        F.least(F.lit(BINS - 1), F.floor(-10 * F.log10(r["t"]["p"]))).cast("int").alias("bin"),
-    )))
-
-
-def thresholds(docs: DataFrame, text_col: str = "text", rate: float = 0.01) -> dict[int, int]:
-    """The least bin of each length class that keeps the false discovery rate, over all runs of the table."""
-    seen = _scanned(docs.select(text_col), text_col).select(F.explode("_runs").alias("r")).groupBy("r.class", "r.bin").agg(F.count("*").alias("m"), F.sum(F.col("r.random").cast("long")).alias("hits"))
-    rows = [r.asDict() for r in seen.select("class", "bin", "m", "hits").collect()]
+
+    def both(base: Column) -> Column:
+        free = F.filter(matches(text, RUN, len(KINDS), 0, 20), lambda r: ~F.exists(base, lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"])))
+        tested = F.transform(free, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), randomness(r["value"]).alias("t")))
+        runs = F.transform(tested, lambda r: F.struct(
+            r["start"].alias("start"), r["end"].alias("end"),
+            (F.least(F.lit(CLASSES - 1), F.floor(F.log2(F.greatest(r["t"]["n"], F.lit(20.0)) / 20))).cast("int") + F.when(r["t"]["one"], CLASSES).otherwise(0)).alias("class"),
+            _bin(r["t"]["structure"]).alias("structure"), _bin(r["t"]["ordinary"]).alias("ordinary"),
+        ))
+        return F.struct(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind"))).alias("base"), runs.alias("runs"))
+
+    return let(base, both)
+
+
+def least_bin(counts: dict[int, int], rate: float) -> int:
+    """Benjamini-Hochberg over binned p-values: the least bin of which all from there on are rejected, or BINS."""
+    m = sum(counts.values())
+    passed = [b for b in range(BINS) if (hits := sum(n for at, n in counts.items() if at >= b)) and m * 10 ** (-b / 10) <= rate * hits]
+    return min(passed, default=BINS)
+
+
+def thresholds(docs: DataFrame, text_col: str = "text", rate: float = 0.01) -> dict[int, tuple[int, int]]:
+    """For each class the least bins of structure and of ordinary writing that are rejected, over all runs of the table."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    some = docs.select(text.alias("t")).where(F.col("t").rlike(RUN)).select(F.explode(scan(F.col("t"))["runs"]).alias("r"))
+    seen = some.groupBy("r.class", "r.structure", "r.ordinary").agg(F.count("*").alias("m")).collect()
     out = {}
-    for c in {r["class"] for r in rows}:
-        own = [r for r in rows if r["class"] == c]
-        m = sum(r["m"] for r in own)
-        passed = [b for b in range(BINS) if (hits := sum(r["hits"] for r in own if r["bin"] >= b)) and m * 10 ** (-b / 10) <= rate * hits]
-        if passed:
-            out[c] = min(passed)
+    for c in {r["class"] for r in seen}:
+        table = [(r["structure"], r["ordinary"], r["m"]) for r in seen if r["class"] == c]
+        by_structure, by_ordinary = {}, {}
+        for s, _, m in table:
+            by_structure[s] = by_structure.get(s, 0) + m
+        cut = least_bin(by_structure, STRUCTURE)
+        for s, o, m in table:
+            if s < cut:  # the others are rejected as structured
+                by_ordinary[o] = by_ordinary.get(o, 0) + m
+        out[c] = cut, least_bin(by_ordinary, rate * (ONE_CLASS if c >= CLASSES else 1))
     return out
 
 
-def with_spans(docs: DataFrame, text_col: str = "text", rate: float = 0.01) -> DataFrame:
-    """`docs` with `spans`: every known and every random span as (start, end, kind), by start, then kind."""
-    found = thresholds(docs, text_col, rate)
-    least = F.create_map(*(F.lit(x) for c in range(CLASSES) for x in (c, found.get(c, BINS))))
-    df = _scanned(docs, text_col)
-    hits = F.filter("_runs", lambda r: r["random"] & (r["bin"] >= least[r["class"]]))
+def _spans(text: Column, found: dict[int, tuple[int, int]]) -> Column:
+    """Every known and every random span of `text` as (start, end, kind), by start, then kind."""
+    limit = lambda i: F.create_map(*(F.lit(x) for c in range(2 * CLASSES) for x in (c, found.get(c, (BINS, BINS))[i])))
+    cut, least = limit(0), limit(1)
     plain = lambda x, kind: F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"))
-    both = F.concat(F.transform("_base", lambda b: plain(b, b["kind"])), F.transform(hits, lambda r: plain(r, F.lit(len(KINDS)))))
-    # by start, then kind: ends do not decide
-    ordered = F.transform(F.array_sort(F.transform(both, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))), lambda x: plain(x, x["kind"]))
-    return df.withColumn("spans", ordered).drop("_base", "_runs")
+
+    def ordered(x: Column) -> Column:
+        hits = F.filter(x["runs"], lambda r: (r["structure"] < cut[r["class"]]) & (r["ordinary"] >= least[r["class"]]))
+        both = F.concat(x["base"], F.transform(hits, lambda r: plain(r, F.lit(len(KINDS)))))
+        # by start, then kind: ends do not decide
+        return F.transform(F.array_sort(F.transform(both, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))), lambda x: plain(x, x["kind"]))
+
+    return let(scan(text), ordered)
+
+
+def with_spans(docs: DataFrame, text_col: str = "text", rate: float = 0.01, out: str = "spans") -> DataFrame:
+    """`docs` with `out`: every known and every random span as (start, end, kind), by start, then kind."""
+    return docs.withColumn(out, _spans(F.coalesce(F.col(text_col), F.lit("")), thresholds(docs, text_col, rate)))
 
 
 def joined(spans: Column) -> Column:
@@ -174,13 +233,24 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate
     return df.select("doc_id", *(n(i).alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), n(len(KINDS)).alias("n_random"))
 
 
+def _masked(text: Column, spans: Column, mark: str) -> Column:
+    """`text` with each outermost span replaced; spans that overlap are replaced as one."""
+
+    def replaced(outer: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(outer, i - 1)["end"]).otherwise(0)
+        pieces = F.transform(outer, lambda x, i: F.when(x["start"] < before(i), "").otherwise(F.concat(F.substring(text, before(i) + 1, x["start"] - before(i)), F.lit(mark))))
+        rest = text.substr(F.element_at(outer, -1)["end"] + 1, F.length(text))
+        return F.when(F.size(outer) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
+
+    def outermost(spans: Column) -> Column:
+        ends = F.array_distinct(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+        return F.array_sort(F.filter(ends, lambda x: ~F.exists(ends, lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"]))))
+
+    return let(let(spans, outermost), replaced)
+
+
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rate: float = 0.01) -> DataFrame:
     """`docs` with every span of every text replaced by `mark`; all rows and columns stay."""
-    df = with_spans(docs.withColumn("_text", F.col(text_col)), text_col, rate)
-    outer = F.filter(F.array_distinct(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))), lambda x: ~F.exists("spans", lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])))
-    df = df.withColumn("_outer", F.array_sort(outer))
-    before = lambda i: F.when(i > 0, F.get("_outer", i - 1)["end"]).otherwise(0)
-    pieces = F.transform("_outer", lambda x, i: F.when(x["start"] < before(i), "").otherwise(F.concat(F.substring(F.col("_text"), before(i) + 1, x["start"] - before(i)), F.lit(mark))))
-    rest = F.col("_text").substr(F.element_at("_outer", -1)["end"] + 1, F.length("_text"))
-    text = F.when(F.size("_outer") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("_text"))
-    return df.withColumn(text_col, text).select(*docs.columns)
+    own = unused("secret_spans", docs.columns)
+    df = with_spans(docs, text_col, rate, own)
+    return df.withColumn(text_col, _masked(F.col(text_col), F.col(own), mark)).drop(own)

@@ -12,9 +12,10 @@ no error spent. Each distinct fingerprint is dealt out C(budget + 2, 2) times, w
 Links of a subtrie leave it as a star about its smallest fingerprint, never as all pairs; neighbours in trie order
 are united first, and a node pair of one united run is not walked, so dense groups cost about a sort.
 
-Cases: null or blank text has fingerprint zero and links like any other; a text with fewer than four words is one
-shingle; a null id keeps its row and never names a component; repeated ids and texts keep their rows; an empty table
-gives an empty table; other columns are ignored.
+Ids may have any type that can be ordered and keep it. Cases: null or blank text has fingerprint zero and links like
+any other; a text with fewer than four words is one shingle, a very long one is hashed in steps; a null id keeps its
+row and never names a component; repeated ids and texts keep their rows; an empty table gives an empty table; other
+columns are ignored by `near_duplicates`, and kept as they are by `deduplicated`, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import staged
+from .common import Stage, looked_up, staged, unused
 from .graph import components
 
 BITS = 64
@@ -55,15 +57,14 @@ def fingerprint(text: bytes | None, width: int = 4, seed: int = 42, step: int =
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(doc_id, text_hash, fp) of every row; fp holds the unsigned bits in a long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             fps = np.fromiter((fingerprint(t.as_py(), width) for t in part.column(2).cast(pa.binary())), np.uint64, part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:2], StructField("fp", LongType())]))
 
 
 def masks(budget: int) -> list[int]:
@@ -174,18 +175,24 @@ def links(fps: DataFrame, budget: int = 4) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4, width: int = 4) -> DataFrame:
     """(doc_id, text_hash, fp, root, component_id) for every row of `docs`; root names components without any id, too."""
-    made = staged(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = staged(made.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    made = Stage(fingerprints(docs, id_col, text_col, width), "fingerprints", F.count(F.lit(1)).alias("n"))
+    classes = staged(made.df.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
     roots = staged(components(links(classes.select("fp"), budget)), "components")
     joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return made.join(joined.join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    ids = joined.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_fps"))
+    known = looked_up(joined.select("fp", "n", "root"), ids, "root", "n_fps", made.measured["n"])
+    return looked_up(made.df, staged(known, "known"), "fp", "n", made.measured["n"]).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4, width: int = 4) -> DataFrame:
-    """`docs` with one row of each group, that of the smallest id (rows without one come last)."""
+    """`docs` with one row of each group, that of the smallest id (rows without one come last).
+
+    Of rows with equal id and text one is kept, whichever.
+    """
     rows = near_duplicates(docs, id_col, text_col, budget, width)
-    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_hash"))
-    both = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    semi = both.join(kept, both[id_col].eqNullSafe(kept["_id"]) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    return semi.dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
+    own, hash_ = (unused(c, docs.columns) for c in ("kept_id", "kept_hash"))
+    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x")).select(F.col("x.doc_id").alias(own), F.col("x.text_hash").alias(hash_))
+    of_text = unused("text_hash", [*docs.columns, own, hash_])
+    both = docs.withColumn(of_text, F.xxhash64(text_col))
+    semi = both.join(kept, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(of_text) == F.col(hash_)), "left_semi")
+    return semi.dropDuplicates([id_col, of_text]).drop(of_text)
