@@ -260,14 +260,92 @@ def test_substrings(spark, edge, empty):
     assert substrings.passages(edge).count() == 0 and substrings.passages(empty).count() == 0
 
 
-def test_runs_mark_every_stretch_by_its_content():
-    rng = np.random.default_rng(2)
-    h, rows = rng.integers(0, 9, 400).astype(np.uint64), np.repeat([0, 1], [150, 250])
-    h[200:260] = h[20:80]
-    key, at = substrings.runs(rows, h, 20)
-    for i in [*range(131), *range(150, 381)]:
-        assert any(i <= k <= i + 10 for k in at)
-    assert {(k - 20, x) for k, x in zip(at, key) if 31 <= k <= 60} == {(k - 200, x) for k, x in zip(at, key) if 211 <= k <= 240}
+def slow_links(texts: list[list[str]]) -> list[tuple[int, int]]:
+    """Pairs of texts with aligned stretches of fifty words of which four fifths of the shingles agree: a lower bound of all links."""
+    sets = [[tuple(t[i : i + 5]) for i in range(len(t) - 4)] for t in texts]
+    out = []
+    for a in range(len(sets)):
+        for b in range(a):
+            near = lambda i, j, x=sets[a], y=sets[b]: len({*x[i : i + 46]} & {*y[j : j + 46]}) >= 0.8 * len({*x[i : i + 46]} | {*y[j : j + 46]})
+            if any(near(i, i + d) for d in (-1, 0, 1) for i in range(max(0, -d), min(len(sets[a]), len(sets[b]) - d) - 45)):
+                out.append((a, b))
+    return out
+
+
+def test_substrings_settle_large_groups_as_brute_force_does(spark):
+    """A passage in sixty texts, each with one word of its own changed, and a second one with words put in."""
+    rng = np.random.default_rng(3)
+    some = lambda n: ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n)]
+    one, two, texts = some(60), some(58), []
+    for i in range(60):
+        copy = list(one)
+        copy[i] = some(1)[0]
+        texts.append(copy)
+    for i in range(0, 58, 2):
+        texts.append([*two[:i], *some(1), *two[i:]])
+    docs = [(k, " ".join([*some(40), *t, *some(40)])) for k, t in enumerate(texts)]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in slow_links(texts):
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    want = {k: find(k) for k in range(len(texts)) if sum(find(k) == find(j) for j in range(len(texts))) > 1}
+    for block in (8192, 16):  # whole groups, and rounds of blocks
+        got = {r.doc_id: r.class_id for r in substrings.passages(spark.createDataFrame(docs, SCHEMA), block=block).collect()}
+        assert got == want
+
+
+def test_recall_of_near_passages(spark):
+    """Of pairs of passages at the least similarities nine in ten at least are linked, whatever the place of the change."""
+    rng = np.random.default_rng(7)
+    some = lambda n: ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n)]
+    docs, pairs = [], 150
+    for k in range(pairs):
+        own = some(int(rng.integers(52, 70)))
+        copy = list(own)
+        copy[int(rng.integers(len(own)))] = some(1)[0]
+        assert slow_links([own, copy])
+        docs += [(2 * k, " ".join([*some(30), *own, *some(9)])), (2 * k + 1, " ".join([*some(5), *copy, *some(50)]))]
+    rows = substrings.passages(spark.createDataFrame(docs, SCHEMA)).collect()
+    found = {r.doc_id: r.class_id for r in rows}
+    assert sum(found.get(2 * k) == 2 * k == found.get(2 * k + 1) for k in range(pairs)) >= 0.95 * pairs
+    assert all(r.class_id // 2 == r.doc_id // 2 for r in rows)
+
+
+def test_settled_blocks_lose_no_link():
+    """Classes of a block against all pairs, for families that meet in rows no leader stands for."""
+    rng = np.random.default_rng(5)
+    room, rows = 20, []
+    for _ in range(12):
+        base = rng.integers(0, 2**31, 39)
+        for _ in range(int(rng.integers(1, 12))):
+            copy = base.copy()
+            copy[rng.choice(39, int(rng.integers(0, 4)), replace=False)] = rng.integers(0, 2**31, 1)
+            base = copy if rng.random() < 0.5 else base
+            rows.append(copy)
+    of, node = np.array(rows, np.int32), np.arange(len(rows))
+    links = [{(int(k), j) for j in range(len(rows)) for k in substrings._shared(of, j, substrings._repeats(of), room, 0.8)[0] if k != j}]
+    parent = {k: k for k in range(len(rows))}
+
+    def find(p, x):
+        while p[x] != x:
+            x = p[x]
+        return x
+
+    for a, b in links[0]:
+        a, b = find(parent, a), find(parent, b)
+        parent[max(a, b)] = min(a, b)
+    got = {k: k for k in range(len(rows))}
+    for some in substrings.settled(of, node, room, 0.8)[0]:
+        for a, b in zip(some[0].tolist(), some[1].tolist()):
+            a, b = find(got, a), find(got, b)
+            got[max(a, b)] = min(a, b)
+    assert {k: find(got, k) for k in got} == {k: find(parent, k) for k in parent}
 
 
 def test_substrings_in_large_groups_and_at_every_place(spark):
