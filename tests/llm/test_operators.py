@@ -329,7 +329,8 @@ def test_settled_blocks_lose_no_link():
             base = copy if rng.random() < 0.5 else base
             rows.append(copy)
     of, node = np.array(rows, np.int32), np.arange(len(rows))
-    links = [{(int(k), j) for j in range(len(rows)) for k in substrings._shared(of, j, substrings._repeats(of), room, 0.8)[0] if k != j}]
+    whole = substrings.Block(of, node, room, 0.8)
+    links = {(int(k), j) for j in range(len(rows)) for k in whole.shared(j)[0] if k != j}
     parent = {k: k for k in range(len(rows))}
 
     def find(p, x):
@@ -337,7 +338,7 @@ def test_settled_blocks_lose_no_link():
             x = p[x]
         return x
 
-    for a, b in links[0]:
+    for a, b in links:
         a, b = find(parent, a), find(parent, b)
         parent[max(a, b)] = min(a, b)
     got = {k: k for k in range(len(rows))}
