@@ -79,8 +79,9 @@ def test_trie_links_connect_what_pairs_connect(seeds, salt):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7), (300, 301)]
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 200: 100, 150: 100, 300: 300, 301: 300}
+    for few in (0, 100):  # by rounds, and by one task
+        got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
+        assert got == {i: 0 for i in range(41)} | {100: 100, 200: 100, 150: 100, 300: 300, 301: 300}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
