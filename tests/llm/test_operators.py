@@ -296,7 +296,7 @@ def test_substrings_settle_large_groups_as_brute_force_does(spark):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     want = {k: find(k) for k in range(len(texts)) if sum(find(k) == find(j) for j in range(len(texts))) > 1}
-    for block in (8192, 16):  # whole groups, and rounds of blocks
+    for block in (512, 32, 2):  # whole groups, parts of groups, and rounds of blocks
         got = {r.doc_id: r.class_id for r in substrings.passages(spark.createDataFrame(docs, SCHEMA), block=block).collect()}
         assert got == want
 
@@ -331,6 +331,7 @@ def test_settled_blocks_lose_no_link():
             rows.append(copy)
     of, node = np.array(rows, np.int32), np.arange(len(rows))
     whole = substrings.Block(of, node, room, 0.8)
+    whole.only(node)
     links = {(int(k), j) for j in range(len(rows)) for k in whole.shared(j)[0] if k != j}
     parent = {k: k for k in range(len(rows))}
 
