@@ -1,67 +1,74 @@
-"""Direct dominance among recipes of one item: S beats R if it gives no less, takes no more of anything, and costs no more."""
+"""Direct dominance among recipes of one item: S beats R if its column is no less in any item, and it costs no more."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import written
 from ..sources.derived import Graph
+from .composite import representatives
+from .normalize import net
 
 
-def direct_pairs(g: Graph) -> DataFrame:
-    """(recipe_id, dominator) among real recipes with their anchor as only output.
+def _met(g: Graph, compare: Column, max_siblings: int) -> DataFrame:
+    """(item_id, recipe_id, dominator, n_equal, n_r, n_s, r_out, s_out): makers of one real item whose columns the dominator covers.
 
-    "S takes no more of anything" is a relational division: the inputs of S that R covers are counted by a join on
-    (anchor, item), so siblings meet only where they share an input; recipes without inputs join on the anchor alone.
+    A column holds what a recipe gives less what it takes, byproducts included. R <= S everywhere is counted, not
+    compared pair by pair: all gains of R must be matched in S, and all losses of S in R, so columns only meet on items
+    they share (the item itself is always one, be its coefficient zero). `compare` is R's coefficient less S's, up to a positive factor. A dominator costs no more and does not
+    consume the item itself; items with more than `max_siblings` makers are left out.
     """
-    plain = g.recipes.where(F.col("anchor") <= g.n_real)
-    eats = g.inputs.join(plain.select("recipe_id", "anchor"), "recipe_id")
-    selfish = eats.where(F.col("item_id") == F.col("anchor")).select("recipe_id")
-    size = eats.groupBy("recipe_id").agg(F.count("*").alias("n"))
-    able = plain.join(selfish, "recipe_id", "left_anti").join(size, "recipe_id", "left").select(F.col("recipe_id").alias("dominator"), F.col("anchor").alias("s_anchor"), F.col("anchor_amt").alias("s_amt"), F.col("cost").alias("s_cost"), F.coalesce("n", F.lit(0)).alias("n"))
-    r, s = eats.alias("r"), eats.alias("s")
-    covered = r.join(s, (F.col("r.anchor") == F.col("s.anchor")) & (F.col("r.item_id") == F.col("s.item_id")) & (F.col("s.amount") <= F.col("r.amount")) & (F.col("r.recipe_id") != F.col("s.recipe_id")))
-    covered = covered.groupBy(F.col("r.recipe_id").alias("recipe_id"), F.col("s.recipe_id").alias("dominator")).agg(F.count("*").alias("hits"))
-    some = covered.join(able, "dominator").where("hits = n").join(plain, "recipe_id")
-    free = plain.join(able.where("n = 0"), F.col("anchor") == F.col("s_anchor")).where("recipe_id <> dominator")
-    better = lambda df: df.where("anchor_amt <= s_amt AND s_cost <= cost").select("recipe_id", "dominator")
-    return better(some).unionByName(better(free))
+    columns = written(net(g, zeros=True), "columns")
+    counted = columns.groupBy("recipe_id").agg(F.count_if(F.col("coef") != 0).alias("n"), F.count_if(F.col("coef") > 0).alias("gains"), F.count_if(F.col("coef") < 0).alias("losses"))
+    made = g.outputs.where(F.col("item_id") <= g.n_real).select("item_id", "recipe_id", F.col("amount").alias("out"))
+    few = made.groupBy("item_id").agg(F.count("*").alias("k")).where(F.col("k").between(2, max_siblings)).select("item_id")
+    makers = made.join(few, "item_id", "left_semi").join(g.recipes.select("recipe_id", "cost"), "recipe_id")
+    makers = written(makers.join(counted, "recipe_id", "left").na.fill(0, ["n", "gains", "losses"]), "makers")
+    able = makers.join(g.inputs.where("amount > 0").select("item_id", "recipe_id"), ["item_id", "recipe_id"], "left_anti")
+    r = makers.join(columns.withColumnRenamed("item_id", "part"), "recipe_id").alias("r")
+    s = able.join(columns.withColumnRenamed("item_id", "part"), "recipe_id").alias("s")
+    same = (F.col("r.item_id") == F.col("s.item_id")) & (F.col("r.part") == F.col("s.part")) & (F.col("r.recipe_id") != F.col("s.recipe_id")) & (F.col("s.cost") <= F.col("r.cost"))
+    met = r.join(s, same & (compare <= 0))
+    key = [F.col("r.item_id").alias("item_id"), F.col("r.recipe_id").alias("recipe_id"), F.col("s.recipe_id").alias("dominator")]
+    met = met.groupBy(*key).agg(
+        F.count_if(F.col("r.coef") > 0).alias("g"), F.count_if(F.col("s.coef") < 0).alias("l"), F.count_if((compare == 0) & (F.col("r.coef") != 0)).alias("n_equal"),
+        F.first("r.gains").alias("gains"), F.first("s.losses").alias("losses"), F.first("r.n").alias("n_r"), F.first("s.n").alias("n_s"), F.first("r.out").alias("r_out"), F.first("s.out").alias("s_out"),
+    )
+    return met.where("g = gains AND l = losses")
+
+
+def direct_pairs(g: Graph, max_siblings: int = 2048) -> DataFrame:
+    """(item_id, recipe_id, dominator): one run of the dominator stands in for one of the recipe, and makes no less of the item."""
+    met = _met(g, F.col("r.coef") - F.col("s.coef"), max_siblings)
+    return met.where("r_out <= s_out").select("item_id", "recipe_id", "dominator")
+
+
+def per_unit_pairs(g: Graph, max_siblings: int = 2048) -> DataFrame:
+    """(item_id, recipe_id, dominator) where the dominator's column is no less for one unit of the item, and more in something.
+
+    Coefficients are compared crosswise as DECIMAL(38,0), so no ratio is rounded; a run costs no more, as it is. Equal
+    columns of different batches beat each other nowhere.
+    """
+    big = lambda c: F.col(c).cast("decimal(19,0)")
+    met = _met(g, big("r.coef") * big("s.out") - big("s.coef") * big("r.out"), max_siblings)
+    return met.where("NOT (n_equal = n_r AND n_equal = n_s)").select("item_id", "recipe_id", "dominator")
 
 
-def direct_dominance(g: Graph) -> DataFrame:
-    """(recipe_id, n_dominators, n_stations) of the dominated recipes of a canonical graph.
+def direct_marks(g: Graph, pairs: DataFrame | None = None) -> DataFrame:
+    """(recipe_id, n_dominators, stations) of the dominated recipes; one that loses for several items has the last one's.
 
-    There the relation is a strict order, so its undominated recipes represent all others, and a dominated recipe's
-    stations are the union of those of its undominated dominators.
+    The recipes that nothing beats, and the lowest one of each set of equals, stand for those that they beat.
     """
-    pairs = direct_pairs(g)
-    top = pairs.join(pairs.select(F.col("recipe_id").alias("dominator")).distinct(), "dominator", "left_anti")
-    stations = top.join(g.stations.withColumnRenamed("recipe_id", "dominator"), "dominator")
-    return stations.groupBy("recipe_id").agg(F.countDistinct("dominator").alias("n_dominators"), F.countDistinct("item_id").alias("n_stations"))
-
+    kept = representatives(direct_pairs(g) if pairs is None else pairs).withColumnRenamed("recipe_id", "loser")
+    at = kept.join(g.stations.withColumnRenamed("item_id", "station"), F.col("kept") == F.col("recipe_id"), "left")
+    marks = at.groupBy("item_id", F.col("loser").alias("recipe_id")).agg(F.countDistinct("kept").alias("n_dominators"), F.array_sort(F.collect_set("station")).alias("stations"))
+    return marks.groupBy("recipe_id").agg(F.max_by(F.struct("n_dominators", "stations"), "item_id").alias("m")).select("recipe_id", "m.n_dominators", "m.stations")
 
-def per_unit_pairs(g: Graph) -> DataFrame:
-    """(recipe_id, dominator) where the dominator is no worse for one unit of the anchor, and strictly better in something.
 
-    Amounts and costs are compared crosswise as DECIMAL(38,0), so no ratio is rounded. The division by inputs is that
-    of `direct_pairs`; a pair is strict if an input of the recipe is missing from its dominator or a comparison is.
-    """
-    plain = g.recipes.where(F.col("anchor") <= g.n_real)
-    eats = g.inputs.join(plain.select("recipe_id", "anchor", "anchor_amt"), "recipe_id")
-    selfish = eats.where(F.col("item_id") == F.col("anchor")).select("recipe_id")
-    size = eats.groupBy("recipe_id").agg(F.count("*").alias("n"))
-    sized = plain.join(size, "recipe_id", "left").select("recipe_id", "anchor", "anchor_amt", "cost", F.coalesce("n", F.lit(0)).alias("n"))
-    able = sized.join(selfish, "recipe_id", "left_anti").select(F.col("recipe_id").alias("dominator"), F.col("anchor").alias("s_anchor"), F.col("anchor_amt").alias("s_amt"), F.col("cost").alias("s_cost"), F.col("n").alias("s_n"))
-    big = lambda c: F.col(c).cast("decimal(19,0)")
-    r, s = eats.alias("r"), eats.alias("s")
-    mine, theirs = big("r.amount") * big("s.anchor_amt"), big("s.amount") * big("r.anchor_amt")
-    covered = r.join(s, (F.col("r.anchor") == F.col("s.anchor")) & (F.col("r.item_id") == F.col("s.item_id")) & (F.col("r.recipe_id") != F.col("s.recipe_id")) & (theirs <= mine))
-    covered = covered.groupBy(F.col("r.recipe_id").alias("recipe_id"), F.col("s.recipe_id").alias("dominator")).agg(F.count("*").alias("hits"), F.max(theirs < mine).alias("less"))
-    some = covered.join(able, "dominator").where("hits = s_n").join(sized, "recipe_id")
-    free = sized.join(able.where("s_n = 0"), F.col("anchor") == F.col("s_anchor")).where("recipe_id <> dominator").withColumn("less", F.lit(False))
-    costs = big("s_cost") * big("anchor_amt"), big("cost") * big("s_amt")
-    strict = lambda df: df.where((costs[0] <= costs[1]) & (F.col("less") | (F.col("n") > F.col("s_n")) | (costs[0] < costs[1]))).select("recipe_id", "dominator")
-    return strict(some).unionByName(strict(free))
+def direct_dominance(g: Graph) -> DataFrame:
+    """(recipe_id, n_dominators, n_stations) of the dominated recipes."""
+    return direct_marks(g).select("recipe_id", "n_dominators", F.size("stations").cast("long").alias("n_stations"))
 
 
 def repaired(g: Graph, marked: DataFrame) -> DataFrame:
@@ -71,8 +78,7 @@ def repaired(g: Graph, marked: DataFrame) -> DataFrame:
     return marked.join(dead, "recipe_id", "left_anti")
 
 
-def usable(g: Graph, pairs: DataFrame, stations: DataFrame) -> DataFrame:
-    """(query_id, recipe_id) of dominated recipes that a request may drop: one of their top dominators' stations is at hand."""
-    top = pairs.join(pairs.select(F.col("recipe_id").alias("dominator")).distinct(), "dominator", "left_anti")
-    at = top.join(g.stations.withColumnRenamed("recipe_id", "dominator"), "dominator").select("recipe_id", "item_id").distinct()
+def usable(marks: DataFrame, stations: DataFrame) -> DataFrame:
+    """(query_id, recipe_id) of `marks` (recipe_id, stations) that a request may drop: one of their stations is at hand."""
+    at = marks.select("recipe_id", F.explode("stations").alias("item_id"))
     return at.join(stations, "item_id").select("query_id", "recipe_id").distinct()

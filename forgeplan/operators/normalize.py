@@ -21,10 +21,11 @@ def drop_non_positive_inputs(g: Graph) -> Graph:
     return replace(g, inputs=g.inputs.where("amount > 0"))
 
 
-def net(g: Graph) -> DataFrame:
-    """(recipe_id, item_id, coef): outputs less inputs, zeros left out."""
+def net(g: Graph, zeros: bool = False) -> DataFrame:
+    """(recipe_id, item_id, coef): outputs less inputs, zeros left out unless asked for."""
     signed = g.outputs.unionByName(g.inputs.withColumn("amount", -F.col("amount")))
-    return signed.groupBy("recipe_id", "item_id").agg(F.sum("amount").alias("coef")).where("coef <> 0")
+    columns = signed.groupBy("recipe_id", "item_id").agg(F.sum("amount").alias("coef"))
+    return columns if zeros else columns.where("coef <> 0")
 
 
 def drop_useless(g: Graph) -> Graph:

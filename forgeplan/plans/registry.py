@@ -16,8 +16,8 @@ TARGETS = (1, 2, 3)
 WORDS = ("red", "st", "blue", "small", "1", "part", "brand", "x")
 
 
-def _normal(spark: SparkSession, sf_dir: str) -> Graph:
-    return normalize.normalized(graph(spark, sf_dir))
+def _normal(spark: SparkSession, sf_dir: str, byproducts: bool = False) -> Graph:
+    return normalize.normalized(graph(spark, sf_dir, byproducts))
 
 
 def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,18 @@ def direct_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance.direct_pairs(_normal(spark, sf_dir))
 
 
+def direct_pairs_byproducts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dominance.direct_pairs(_normal(spark, sf_dir, byproducts=True))
+
+
+def per_unit_pairs_byproducts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dominance.per_unit_pairs(_normal(spark, sf_dir, byproducts=True))
+
+
+def canonical_byproducts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normal(spark, sf_dir, byproducts=True).recipes
+
+
 def producer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir)
     return g.outputs.groupBy("item_id").agg(F.count("*").alias("producers"), F.min("amount").alias("least"), F.max("amount").alias("most"))
@@ -98,9 +110,9 @@ def seed_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The balance of the plan that runs every recipe of the first hundred parts once."""
+    """The balance of the plan that runs every recipe once."""
     g = graph(spark, sf_dir)
-    runs = g.recipes.where("anchor <= 100").select(F.lit(0).alias("query_id"), "recipe_id", F.lit(1).cast("long").alias("cnt"))
+    runs = g.recipes.select(F.lit(0).alias("query_id"), "recipe_id", F.lit(1).cast("long").alias("cnt"))
     demand = spark.createDataFrame([(0, t, 100) for t in TARGETS], "query_id int, item_id int, amount long")
     return balance.balances(g, runs, demand).select("item_id", F.col("balance").cast("long").alias("balance"), F.col("missing").cast("long").alias("missing"))
 
@@ -152,7 +164,7 @@ def repaired_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def usable_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each request, the directly dominated recipes that its stations let it drop."""
     g = _normal(spark, sf_dir)
-    return dominance.usable(g, dominance.direct_pairs(g), _requests(spark, g)[1]).groupBy("query_id").agg(F.count("*").alias("n_recipes"))
+    return dominance.usable(dominance.direct_marks(g), _requests(spark, g)[1]).groupBy("query_id").agg(F.count("*").alias("n_recipes"))
 
 
 def tag_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,6 +198,12 @@ def component_of_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comp.join(comp.where("node = 1").select("component"), "component", "left_semi").select(F.col("node").alias("item_id"))
 
 
+def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item of the recipe graph with the largest item of its strong component."""
+    comp = components.strong_components(components.item_edges(normalize.stored(graph(spark, sf_dir))))
+    return comp.select(F.col("node").alias("item_id"), "component")
+
+
 def component_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.statistics(normalize.stored(graph(spark, sf_dir)))
 
@@ -221,20 +239,26 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.summary(reports.with_truth(reports.derived(rows), truth, ["o_custkey"]), ["config"]).withColumn("cost_ratio", F.round("cost_ratio", 6))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (graph_counts, net_columns, leaf_items, useful_recipes, canonical_recipes, direct_pairs, direct_dominance, producer_stats, item_degrees, reachable, reachable_items, needed_items, seed_closure, plan_balance, plan_costs, name_tokens, name_search, names_ambiguous, per_unit_pairs, composite_pairs, composite_marks, repaired_marks, usable_marks, tag_budget, exclusive_items, tag_exclusive, closed_islands, cost_bounds, component_of_first, component_statistics, plan_statuses, plan_shortfalls, inventories, report_summary)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (graph_counts, net_columns, leaf_items, useful_recipes, canonical_recipes, direct_pairs, direct_pairs_byproducts, per_unit_pairs_byproducts, canonical_byproducts, direct_dominance, producer_stats, item_degrees, reachable, reachable_items, needed_items, seed_closure, plan_balance, plan_costs, name_tokens, name_search, names_ambiguous, per_unit_pairs, composite_pairs, composite_marks, repaired_marks, usable_marks, tag_budget, exclusive_items, tag_exclusive, closed_islands, cost_bounds, component_of_first, strong_components, component_statistics, plan_statuses, plan_shortfalls, inventories, report_summary)}
 
 _NORMAL = """
 eaten AS (SELECT o.recipe_id, bool_or(o.amount > coalesce(i.amount, 0)) AS gains FROM outputs o LEFT JOIN inputs i USING (recipe_id, item_id) GROUP BY 1),
 useful AS (SELECT * FROM recipes WHERE recipe_id < 0 OR (recipe_id IN (SELECT recipe_id FROM eaten WHERE gains) AND recipe_id IN (SELECT recipe_id FROM stations))),
-sig AS (SELECT u.recipe_id, anchor, anchor_amt, cost, coalesce((SELECT string_agg(item_id || 'x' || amount, ',' ORDER BY item_id) FROM inputs i WHERE i.recipe_id = u.recipe_id AND amount > 0), '') AS ins FROM useful u),
+sig AS (SELECT u.recipe_id, anchor, anchor_amt, cost, coalesce((SELECT string_agg(item_id || 'x' || amount, ',' ORDER BY item_id) FROM inputs i WHERE i.recipe_id = u.recipe_id AND amount > 0), '') || '>' || (SELECT string_agg(item_id || 'x' || amount, ',' ORDER BY item_id) FROM outputs o WHERE o.recipe_id = u.recipe_id) AS ins FROM useful u),
 merged AS (SELECT recipe_id, min(recipe_id) OVER (PARTITION BY anchor, anchor_amt, cost, ins) AS survivor FROM sig),
 canon AS (SELECT * FROM recipes WHERE recipe_id IN (SELECT survivor FROM merged)),
 cstations AS (SELECT DISTINCT survivor AS recipe_id, item_id FROM merged JOIN stations USING (recipe_id)),
 cin AS (SELECT i.*, c.anchor FROM inputs i JOIN canon c USING (recipe_id) WHERE recipe_id >= 0),
 sized AS (SELECT c.*, (SELECT count(*) FROM cin i WHERE i.recipe_id = c.recipe_id) AS n, c.recipe_id IN (SELECT recipe_id FROM cin WHERE item_id = anchor) AS selfish FROM canon c WHERE recipe_id >= 0),
-hits AS (SELECT r.recipe_id, s.recipe_id AS dominator, count(*) AS hits FROM cin r JOIN cin s ON r.anchor = s.anchor AND r.item_id = s.item_id AND s.amount <= r.amount AND r.recipe_id <> s.recipe_id GROUP BY 1, 2
-  UNION ALL SELECT r.recipe_id, s.recipe_id, 0 FROM sized r JOIN sized s ON r.anchor = s.anchor AND r.recipe_id <> s.recipe_id WHERE s.n = 0),
-pairs AS (SELECT h.recipe_id, h.dominator FROM hits h JOIN sized r ON r.recipe_id = h.recipe_id JOIN sized s ON s.recipe_id = h.dominator WHERE h.hits = s.n AND NOT s.selfish AND r.anchor_amt <= s.anchor_amt AND s.cost <= r.cost)
+col AS (SELECT recipe_id, item_id, sum(x)::BIGINT AS coef FROM (SELECT recipe_id, item_id, amount AS x FROM outputs UNION ALL SELECT recipe_id, item_id, -amount FROM inputs WHERE amount > 0) WHERE recipe_id IN (SELECT recipe_id FROM canon) GROUP BY 1, 2 HAVING sum(x) <> 0),
+mk AS (SELECT o.item_id, o.recipe_id, o.amount AS out, c.cost, EXISTS (SELECT 1 FROM inputs i WHERE i.recipe_id = o.recipe_id AND i.item_id = o.item_id AND i.amount > 0) AS eats FROM outputs o JOIN canon c USING (recipe_id), n WHERE o.item_id <= n_parts + n_supp),
+sib AS (SELECT r.item_id, r.recipe_id, s.recipe_id AS dominator, r.out AS r_out, s.out AS s_out FROM mk r JOIN mk s USING (item_id) WHERE r.recipe_id <> s.recipe_id AND s.cost <= r.cost AND NOT s.eats),
+both_ AS (SELECT b.*, c.item_id AS part, c.coef AS r_coef, 0 AS s_coef FROM sib b JOIN col c ON c.recipe_id = b.recipe_id UNION ALL SELECT b.*, c.item_id, 0, c.coef FROM sib b JOIN col c ON c.recipe_id = b.dominator),
+cell AS (SELECT item_id, recipe_id, dominator, r_out, s_out, part, sum(r_coef)::HUGEINT AS r, sum(s_coef)::HUGEINT AS s FROM both_ GROUP BY ALL),
+pairs AS (SELECT item_id, recipe_id, dominator FROM cell WHERE r_out <= s_out GROUP BY 1, 2, 3 HAVING bool_and(r <= s)),
+unit AS (SELECT item_id, recipe_id, dominator FROM cell GROUP BY 1, 2, 3 HAVING bool_and(r * s_out <= s * r_out) AND bool_or(r * s_out < s * r_out)),
+top AS (SELECT p.* FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM pairs q WHERE q.item_id = p.item_id AND q.recipe_id = p.dominator)),
+marked AS (SELECT * FROM top t WHERE item_id = (SELECT max(item_id) FROM top u WHERE u.recipe_id = t.recipe_id))
 """
 _REQ = """
 targets AS (SELECT * FROM (VALUES (0, 1), (1, 2), (2, 3)) t(query_id, item_id)),
@@ -252,7 +276,9 @@ def _with(*parts: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",".join(p.strip() for p in (derived.SQL, *parts)) + "\n"
 
 
-_BALANCE = _with() + "SELECT item_id::INT AS item_id, sum(x)::BIGINT AS balance, greatest(-sum(x), 0)::BIGINT AS missing FROM (SELECT item_id, sum(x) AS x FROM (SELECT recipe_id, item_id, sum(x) AS x FROM (SELECT recipe_id, item_id, amount AS x FROM outputs UNION ALL SELECT recipe_id, item_id, -amount FROM inputs) GROUP BY 1, 2 HAVING sum(x) <> 0) JOIN recipes USING (recipe_id) WHERE anchor <= 100 GROUP BY 1 UNION ALL SELECT * FROM (VALUES (1, -100), (2, -100), (3, -100)) v(a, b)) GROUP BY 1"
+_BALANCE = _with() + "SELECT item_id::INT AS item_id, sum(x)::BIGINT AS balance, greatest(-sum(x), 0)::BIGINT AS missing FROM (SELECT item_id, sum(x) AS x FROM (SELECT recipe_id, item_id, sum(x) AS x FROM (SELECT recipe_id, item_id, amount AS x FROM outputs UNION ALL SELECT recipe_id, item_id, -amount FROM inputs) GROUP BY 1, 2 HAVING sum(x) <> 0) JOIN recipes USING (recipe_id) GROUP BY 1 UNION ALL SELECT * FROM (VALUES (1, -100), (2, -100), (3, -100)) v(a, b)) GROUP BY 1"
+
+_BY = "WITH " + ",".join(p.strip() for p in (derived.BYPRODUCTS, _NORMAL)) + "\n"
 
 SQL: dict[str, str] = {
     "graph_counts": _with() + "SELECT 'outputs' AS name, count(*) AS n, sum(amount)::BIGINT AS total FROM outputs UNION ALL SELECT 'inputs', count(*), sum(amount)::BIGINT FROM inputs UNION ALL SELECT 'stations', count(*), sum(item_id)::BIGINT FROM stations",
@@ -260,8 +286,11 @@ SQL: dict[str, str] = {
     "leaf_items": _with() + "SELECT DISTINCT item_id::INT AS item_id FROM inputs WHERE item_id NOT IN (SELECT item_id FROM outputs)",
     "useful_recipes": _with(_NORMAL) + "SELECT recipe_id, anchor::INT AS anchor, anchor_amt::BIGINT AS anchor_amt, cost::BIGINT AS cost FROM useful",
     "canonical_recipes": _with(_NORMAL) + "SELECT recipe_id, anchor::INT AS anchor, anchor_amt::BIGINT AS anchor_amt, cost::BIGINT AS cost, (SELECT count(*) FROM cstations s WHERE s.recipe_id = c.recipe_id) AS n_stations FROM canon c",
-    "direct_pairs": _with(_NORMAL) + "SELECT * FROM pairs",
-    "direct_dominance": _with(_NORMAL) + "SELECT p.recipe_id, count(DISTINCT dominator) AS n_dominators, count(DISTINCT s.item_id) AS n_stations FROM pairs p JOIN cstations s ON s.recipe_id = dominator WHERE dominator NOT IN (SELECT recipe_id FROM pairs) GROUP BY 1",
+    "direct_pairs": _with(_NORMAL) + "SELECT item_id::INT AS item_id, recipe_id, dominator FROM pairs",
+    "direct_pairs_byproducts": _BY + "SELECT item_id::INT AS item_id, recipe_id, dominator FROM pairs",
+    "per_unit_pairs_byproducts": _BY + "SELECT item_id::INT AS item_id, recipe_id, dominator FROM unit",
+    "canonical_byproducts": _BY + "SELECT recipe_id, anchor::INT AS anchor, anchor_amt::BIGINT AS anchor_amt, cost::BIGINT AS cost FROM canon",
+    "direct_dominance": _with(_NORMAL) + "SELECT m.recipe_id, count(DISTINCT dominator) AS n_dominators, count(DISTINCT s.item_id) AS n_stations FROM marked m LEFT JOIN cstations s ON s.recipe_id = dominator GROUP BY 1",
     "producer_stats": _with() + "SELECT item_id::INT AS item_id, count(*) AS producers, min(amount)::BIGINT AS least, max(amount)::BIGINT AS most FROM outputs GROUP BY 1",
     "item_degrees": _with() + "SELECT coalesce(o.item_id, i.item_id)::INT AS item_id, coalesce(made_by, 0) AS made_by, coalesce(used_by, 0) AS used_by FROM (SELECT item_id, count(*) AS made_by FROM outputs GROUP BY 1) o FULL JOIN (SELECT item_id, count(*) AS used_by FROM inputs GROUP BY 1) i ON o.item_id = i.item_id",
     "reachable": _with(_REQ, recursive=True) + "SELECT query_id::INT AS query_id, n_items, coalesce(n_recipes, 0) AS n_recipes FROM (SELECT query_id, count(*) AS n_items FROM walked GROUP BY 1) LEFT JOIN (SELECT query_id, count(*) AS n_recipes FROM used GROUP BY 1) USING (query_id)",
@@ -283,9 +312,7 @@ s AS (SELECT query_id, handle, CASE WHEN b > 0 THEN CASE WHEN b = 1 AND n = 1 AN
 best AS (SELECT query_id, handle, min((kind, field, pos)) AS k FROM s GROUP BY 1, 2),
 r AS (SELECT query_id, handle, k[1] AS kind, row_number() OVER (PARTITION BY query_id ORDER BY k, handle) AS rank FROM best)
 SELECT query_id::INT AS query_id, rank::INT AS rank, handle, kind FROM r WHERE rank <= 50""",
-    "per_unit_pairs": _with(_NORMAL, """
-unit AS (SELECT r.recipe_id, s.recipe_id AS dominator, count(*) AS hits, bool_or(s.amount * ra.anchor_amt < r.amount * sa.anchor_amt) AS less FROM cin r JOIN sized ra ON ra.recipe_id = r.recipe_id JOIN cin s ON r.anchor = s.anchor AND r.item_id = s.item_id AND r.recipe_id <> s.recipe_id JOIN sized sa ON sa.recipe_id = s.recipe_id WHERE s.amount * ra.anchor_amt <= r.amount * sa.anchor_amt GROUP BY 1, 2
-  UNION ALL SELECT r.recipe_id, s.recipe_id, 0, false FROM sized r JOIN sized s ON r.anchor = s.anchor AND r.recipe_id <> s.recipe_id WHERE s.n = 0)""") + "SELECT h.recipe_id, h.dominator FROM unit h JOIN sized r ON r.recipe_id = h.recipe_id JOIN sized s ON s.recipe_id = h.dominator WHERE h.hits = s.n AND NOT s.selfish AND s.cost * r.anchor_amt <= r.cost * s.anchor_amt AND (h.less OR r.n > s.n OR s.cost * r.anchor_amt < r.cost * s.anchor_amt)",
+    "per_unit_pairs": _with(_NORMAL) + "SELECT item_id::INT AS item_id, recipe_id, dominator FROM unit",
     "composite_pairs": _with(_NORMAL, """
 cnet AS (SELECT recipe_id, item_id, sum(x)::BIGINT AS coef FROM (SELECT recipe_id, anchor AS item_id, anchor_amt AS x FROM canon UNION ALL SELECT recipe_id, item_id, -amount FROM inputs WHERE recipe_id IN (SELECT recipe_id FROM canon) AND amount > 0) GROUP BY 1, 2 HAVING sum(x) <> 0),
 sib AS (SELECT r.anchor AS x, r.recipe_id AS r, s.recipe_id AS s, r.cost AS r_cost, s.cost AS s_cost FROM sized r JOIN sized s ON r.anchor = s.anchor AND r.recipe_id <> s.recipe_id WHERE NOT s.selfish),
@@ -298,7 +325,7 @@ above AS (SELECT c.r, c.y, c.w, c.s FROM cases c JOIN u ON u.r = c.r AND u.y = c
   UNION SELECT c.r, c.y, c.w, c.s FROM cases c JOIN cnet v ON v.recipe_id = c.s LEFT JOIN u ON u.r = c.r AND u.y = c.y AND u.w = c.w AND u.item_id = v.item_id WHERE v.coef < 0 AND u.u IS NULL),
 open AS (SELECT c.x, c.r, c.y, c.s FROM cases c LEFT JOIN idle i ON i.r = c.r AND i.y = c.y AND i.w = c.w LEFT JOIN above a ON a.r = c.r AND a.y = c.y AND a.w = c.w AND a.s = c.s WHERE i.r IS NULL AND (a.r IS NOT NULL OR NOT c.cheap))""") + "SELECT x::INT AS item_id, sib.r AS recipe_id, a.y::INT AS guard, sib.s AS dominator FROM sib JOIN asked a ON a.r = sib.r ANTI JOIN open o ON o.x = sib.x AND o.r = sib.r AND o.y = a.y AND o.s = sib.s",
     "repaired_marks": _with() + "SELECT recipe_id FROM recipes r WHERE anchor_amt < 30 AND recipe_id >= 0 AND NOT (recipe_id = (SELECT min(recipe_id) FROM recipes s WHERE s.anchor = r.anchor) AND (SELECT max(anchor_amt) FROM recipes s WHERE s.anchor = r.anchor) < 30)",
-    "usable_marks": _with(_NORMAL) + "SELECT (s.item_id % 3)::INT AS query_id, count(DISTINCT p.recipe_id) AS n_recipes FROM pairs p JOIN cstations s ON s.recipe_id = dominator WHERE dominator NOT IN (SELECT recipe_id FROM pairs) GROUP BY 1",
+    "usable_marks": _with(_NORMAL) + "SELECT (s.item_id % 3)::INT AS query_id, count(DISTINCT m.recipe_id) AS n_recipes FROM marked m JOIN cstations s ON s.recipe_id = dominator GROUP BY 1",
     "tag_budget": _with() + "SELECT tag::INT AS tag, k, pairs::BIGINT AS pairs, pairs <= 100000 AND k <= 1024 AS admitted FROM (SELECT tag, k, sum(k * k) OVER (ORDER BY k, tag) AS pairs FROM (SELECT tag, count(*) AS k FROM tags GROUP BY 1))",
     "exclusive_items": _with() + "SELECT member::INT AS item_id, tag::INT AS tag FROM tags WHERE tag IN (SELECT item_id FROM inputs WHERE recipe_id >= 0) AND member NOT IN (SELECT item_id FROM inputs WHERE recipe_id >= 0)",
     "tag_exclusive": _with("""

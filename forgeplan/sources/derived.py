@@ -4,6 +4,8 @@ Handles: part p_partkey + 1, supplier n_parts + s_suppkey + 1, tag n_real + bran
 lines; its anchor is the part of the first line by (l_linenumber, l_partkey), its amount the order's quantity of that
 part; other parts are inputs, or their brand's tag where the line was returned; suppliers are its stations. Every tag
 has a free edge from each of its parts, numbered -handle of the part.
+
+With `byproducts` the other parts of accepted lines (l_returnflag A) are given and not taken.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ class Graph:
     stations: DataFrame
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
+def graph(spark: SparkSession, sf_dir: str, byproducts: bool = False) -> Graph:
     part, supplier, line = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "supplier", "lineitem"))
     n_parts = part.count()
     n_real = n_parts + supplier.count()
@@ -36,11 +38,14 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     own = lines.join(anchors, "recipe_id")
     real = own.groupBy("recipe_id", "anchor").agg(F.sum(F.when(F.col("item_id") == F.col("anchor"), F.col("amount"))).alias("anchor_amt")).withColumn("cost", F.lit(1).cast("long"))
     others = own.where(F.col("item_id") != F.col("anchor")).join(part.select((F.col("p_partkey") + 1).cast("int").alias("item_id"), tag.alias("tag")), "item_id")
+    given = others.where(F.col("l_returnflag") == "A").groupBy("recipe_id", "item_id").agg(F.sum("amount").alias("amount")) if byproducts else None
+    others = others.where(F.col("l_returnflag") != "A") if byproducts else others
     inputs = others.groupBy("recipe_id", F.when(F.col("l_returnflag") == "R", F.col("tag")).otherwise(F.col("item_id")).alias("item_id")).agg(F.sum("amount").alias("amount"))
     member = (F.col("p_partkey") + 1).cast("int")
     edges = part.select((-member).cast("long").alias("recipe_id"), tag.alias("anchor"), F.lit(1).cast("long").alias("anchor_amt"), F.lit(0).cast("long").alias("cost"), member.alias("member"))
     recipes = real.select("recipe_id", "anchor", "anchor_amt", "cost").unionByName(edges.drop("member"))
     outputs = recipes.select("recipe_id", F.col("anchor").alias("item_id"), F.col("anchor_amt").alias("amount"))
+    outputs = outputs.unionByName(given) if byproducts else outputs
     inputs = inputs.unionByName(edges.select("recipe_id", F.col("member").alias("item_id"), F.lit(1).cast("long").alias("amount")))
     return Graph(n_real, recipes, outputs, inputs, lines.select("recipe_id", F.col("station").alias("item_id")).distinct())
 
@@ -61,3 +66,9 @@ inputs AS (
 outputs AS (SELECT recipe_id, anchor AS item_id, anchor_amt AS amount FROM recipes),
 stations AS (SELECT DISTINCT recipe_id, station AS item_id FROM lines)
 """
+
+#: The tables with byproducts, where they differ.
+BYPRODUCTS = SQL.replace("WHERE item_id <> anchor GROUP BY 1, 2", "WHERE item_id <> anchor AND l_returnflag <> 'A' GROUP BY 1, 2").replace(
+    "outputs AS (SELECT recipe_id, anchor AS item_id, anchor_amt AS amount FROM recipes)",
+    "outputs AS (SELECT recipe_id, anchor AS item_id, anchor_amt AS amount FROM recipes UNION ALL SELECT recipe_id, item_id, sum(amount) FROM lines JOIN anchors USING (recipe_id) WHERE item_id <> anchor AND l_returnflag = 'A' GROUP BY 1, 2)",
+)

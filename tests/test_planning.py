@@ -1,5 +1,7 @@
 """Planning operators on hand-made graphs, and the name search on its reference corpus."""
 
+from dataclasses import replace
+
 import pytest
 
 from forgeplan.operators import balance, dominance, normalize, reach, search
@@ -62,6 +64,7 @@ def test_lossy_and_stationless_recipes_go(make):
 def test_direct_dominance(make):
     g = make(5, [(1, 2, {2: 2}, [4], 1), (1, 2, {2: 1}, [5], 1), (2, 1, {3: 1}, [4], 1)])
     assert [tuple(r) for r in dominance.direct_dominance(g).collect()] == [(0, 1, 1)]
+    assert [tuple(r) for r in dominance.usable(dominance.direct_marks(g), g.recipes.sparkSession.createDataFrame([(0, 4), (1, 5)], 'query_id int, item_id int')).collect()] == [(1, 0)]
     # a sibling that eats the item itself beats nobody; scaled recipes are not comparable
     assert dominance.direct_pairs(make(3, [(1, 1, {2: 3}, [1], 1), (1, 1, {1: 1}, [1], 1)])).count() == 0
     assert dominance.direct_pairs(make(3, [(1, 1, {2: 3}, [1], 1), (1, 1, {3: 1}, [1], 1)])).count() == 0
@@ -89,3 +92,48 @@ def test_balance(spark, make):
 
 def test_registry_names_match():
     assert set(registry.SQL) <= set(registry.QUERIES)
+
+
+def test_byproducts_count_in_dominance(spark, make):
+    """1x1 + 2x5 <- 3x1 is not beaten by 1x1 <- 3x1, which it beats; pairs against columns compared one by one."""
+    import random
+
+    rng = random.Random(4)
+    recipes = [({1: 1, 2: 5}, {3: 1}), ({1: 1}, {3: 1})] + [({k: rng.randint(1, 3) for k in rng.sample(range(1, 4), rng.randint(1, 2))}, {k: rng.randint(0, 3) for k in rng.sample(range(1, 6), rng.randint(0, 2))}) for _ in range(40)]
+    cost = [1, 1, *(rng.randint(1, 2) for _ in range(40))]
+    g = make(5, [(min(o), o[min(o)], i, [1], c) for (o, i), c in zip(recipes, cost)])
+    g = replace(g, outputs=spark.createDataFrame([(k, i, a) for k, (o, _) in enumerate(recipes) for i, a in o.items()], "recipe_id long, item_id int, amount long"))
+    net = lambda k: {i: recipes[k][0].get(i, 0) - recipes[k][1].get(i, 0) for i in range(1, 6)}
+    raw, unit = set(), set()
+    for x in range(1, 6):
+        makers = [k for k, (o, _) in enumerate(recipes) if x in o]
+        for r in makers:
+            for s in makers:
+                if r != s and cost[s] <= cost[r] and not recipes[s][1].get(x, 0):
+                    a, b, p, q = net(r), net(s), recipes[r][0][x], recipes[s][0][x]
+                    if p <= q and all(a[i] <= b[i] for i in a):
+                        raw.add((x, r, s))
+                    if all(a[i] * q <= b[i] * p for i in a) and any(a[i] * q < b[i] * p for i in a):
+                        unit.add((x, r, s))
+    assert {tuple(r) for r in dominance.direct_pairs(g).collect()} == raw and (1, 1, 0) in raw and (1, 0, 1) not in raw
+    assert {tuple(r) for r in dominance.per_unit_pairs(g).collect()} == unit
+
+
+def test_pinyin_variants_of_long_names():
+    import itertools
+
+    from forgeplan.functions.text import pinyin_variants
+
+    readings = {"a": ["x", "y", "z"], "b": ["u", "v"], "c": ["w"]}
+    for name in ("ab", "abc", "cacb", "aab", "bbbb"):
+        each = [readings[c] for c in name]
+        want = sorted(itertools.product(*(range(len(r)) for r in each)), key=lambda p: (sum(map(bool, p)), p))[:8]
+        assert [v for v, _ in pinyin_variants(name, readings)] == [[r[k] for r, k in zip(each, p)] for p in want]
+    assert len(pinyin_variants("ab" * 200, readings)) == 8
+
+
+def test_tag_edges_are_open_to_requests_without_stations(spark, make):
+    g = make(3, [(4, 1, {1: 1}, [], 0), (4, 1, {2: 1}, [], 0)])
+    none = spark.createDataFrame([], "query_id int, item_id int")
+    items, recipes = reach.walk(g, spark.createDataFrame([(7, 4)], "query_id int, item_id int"), none)
+    assert sorted(r.item_id for r in items.collect()) == [1, 2, 4] and recipes.count() == 2
