@@ -131,11 +131,12 @@ def test_tag_exclusive(spark, make):
 
 def test_per_unit_and_repair(spark, make):
     g = stored(make(3, [({1: 1}, {2: 2}, [1]), ({1: 4}, {2: 4}, [2]), ({1: 8}, {2: 8}, [3])]))
-    assert {tuple(r) for r in dominance.per_unit_pairs(g).collect()} == {(0, 1), (0, 2), (1, 2)}
+    # equal columns of different batches beat each other nowhere, whatever they cost a unit
+    assert {tuple(r) for r in dominance.per_unit_pairs(g).collect()} == {(1, 0, 1), (1, 0, 2)}
     marked = spark.createDataFrame([(0,), (1,), (2,)], "recipe_id long")
     assert sorted(r.recipe_id for r in dominance.repaired(g, marked).collect()) == [1, 2]
-    use = dominance.usable(g, dominance.per_unit_pairs(g), spark.createDataFrame([(5, 3)], "query_id int, item_id int"))
-    assert sorted(r.recipe_id for r in use.collect()) == [0, 1]
+    use = dominance.usable(dominance.direct_marks(g, dominance.per_unit_pairs(g)), spark.createDataFrame([(5, 3), (6, 1)], "query_id int, item_id int"))
+    assert [tuple(r) for r in use.collect()] == [(5, 0)]
 
 
 def test_components(spark):
