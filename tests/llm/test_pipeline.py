@@ -32,3 +32,24 @@ def test_pipeline(spark, tmp_path):
     assert all(last[i] == texts[i] for i in last if i != 143)
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id: r.length for r in packed} == {i: len(t.split()) for i, t in last.items()}
+
+
+def test_stages_take_every_case(spark, tmp_path):
+    """Null, blank, very long and repeated rows, rows without an id, and an empty table, through every stage."""
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "one two three"), (4, "one two three"), (None, "no id at all"), (None, "no id at all"), (5, "word " * 40000), (6, "password = abcdefghijklmnop")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "three blind mice ran away"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs in (spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], schema), spark.createDataFrame([], schema)):
+        full = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name != "best-fit packing":
+                assert out.columns == corpus_pipeline.COLUMNS
+                assert out.count() <= full
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert sum(r.length for r in packed) == sum(len((r.text or "").split()) for r in docs.collect())
+        masked = {r.text for r in corpus_pipeline.mask_secrets(spark, docs, str(tmp_path)).where("doc_id = 6").collect()}
+        assert masked == ({"[SECRET]"} if full else set())
+        ids = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()]
+        assert sorted(ids, key=str) == ([1, 4, 5, 6, None] if full else [])
