@@ -98,10 +98,11 @@ def test_joint_sizes_are_cheaper_than_one_size():
     bins, final = packing.pack(lengths)
     alone, _ = packing.best_fit(lengths, (4096,), (4096,))
     assert sum(map(packing.cost, final)) < 0.99 * packing.cost(4096) * (max(alone) + 1)
-    assert len(set(final)) > 1
-    _, opened = packing.best_fit(lengths, packing.SIZES, (2048,))
-    bins, _ = packing.best_fit(lengths, packing.SIZES, (2048,))
-    assert packing.downsized(lengths, bins, packing.SIZES) != opened  # downsizing acts
+    # each bin in turn is opened at the least cost a place that holds its piece, and ends at the least size for its contents
+    bins, opened = packing.best_fit([3000, 1500, 900], packing.SIZES, (2048,))
+    assert (bins, opened) == ([0, 1, 0], [4096, 2048])
+    bins, opened = packing.best_fit([1500, 900], packing.SIZES, (2048,))
+    assert opened == [2048, 2048] and packing.downsized([1500, 900], bins, packing.SIZES) == [2048, 1024]
 
 
 def test_bins_of_repeated_and_null_ids(spark):
