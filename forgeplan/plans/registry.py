@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -276,6 +277,11 @@ def _with(*parts: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",".join(p.strip() for p in (derived.SQL, *parts)) + "\n"
 
 
+def _kept(sql: str) -> str:
+    """`sql` with every common table computed once."""
+    return re.sub(r"\b([a-z_]+) AS \((?=SELECT)", r"\1 AS MATERIALIZED (", sql)
+
+
 _BALANCE = _with() + "SELECT item_id::INT AS item_id, sum(x)::BIGINT AS balance, greatest(-sum(x), 0)::BIGINT AS missing FROM (SELECT item_id, sum(x) AS x FROM (SELECT recipe_id, item_id, sum(x) AS x FROM (SELECT recipe_id, item_id, amount AS x FROM outputs UNION ALL SELECT recipe_id, item_id, -amount FROM inputs) GROUP BY 1, 2 HAVING sum(x) <> 0) JOIN recipes USING (recipe_id) GROUP BY 1 UNION ALL SELECT * FROM (VALUES (1, -100), (2, -100), (3, -100)) v(a, b)) GROUP BY 1"
 
 _BY = "WITH " + ",".join(p.strip() for p in (derived.BYPRODUCTS, _NORMAL)) + "\n"
@@ -313,17 +319,17 @@ best AS (SELECT query_id, handle, min((kind, field, pos)) AS k FROM s GROUP BY 1
 r AS (SELECT query_id, handle, k[1] AS kind, row_number() OVER (PARTITION BY query_id ORDER BY k, handle) AS rank FROM best)
 SELECT query_id::INT AS query_id, rank::INT AS rank, handle, kind FROM r WHERE rank <= 50""",
     "per_unit_pairs": _with(_NORMAL) + "SELECT item_id::INT AS item_id, recipe_id, dominator FROM unit",
-    "composite_pairs": _with(_NORMAL, """
+    "composite_pairs": _kept(_with(_NORMAL, """
 cnet AS (SELECT recipe_id, item_id, sum(x)::BIGINT AS coef FROM (SELECT recipe_id, anchor AS item_id, anchor_amt AS x FROM canon UNION ALL SELECT recipe_id, item_id, -amount FROM inputs WHERE recipe_id IN (SELECT recipe_id FROM canon) AND amount > 0) GROUP BY 1, 2 HAVING sum(x) <> 0),
-sib AS (SELECT r.anchor AS x, r.recipe_id AS r, s.recipe_id AS s, r.cost AS r_cost, s.cost AS s_cost FROM sized r JOIN sized s ON r.anchor = s.anchor AND r.recipe_id <> s.recipe_id WHERE NOT s.selfish),
+csib AS (SELECT r.anchor AS x, r.recipe_id AS r, s.recipe_id AS s, r.cost AS r_cost, s.cost AS s_cost FROM sized r JOIN sized s ON r.anchor = s.anchor AND r.recipe_id <> s.recipe_id WHERE NOT s.selfish),
 asked AS (SELECT recipe_id AS r, item_id AS y, amount AS q FROM cin, n WHERE item_id <= n_parts + n_supp),
 ways AS (SELECT a.r, a.y, m.recipe_id AS w, ((q + m.anchor_amt - 1) // m.anchor_amt) AS t, m.cost AS m_cost FROM asked a JOIN sized m ON m.anchor = a.y),
 u AS (SELECT r, y, w, item_id, sum(coef) AS u FROM (SELECT ways.r, y, w, item_id, coef FROM ways JOIN cnet ON cnet.recipe_id = ways.r UNION ALL SELECT ways.r, y, w, item_id, coef * t FROM ways JOIN cnet ON cnet.recipe_id = w) GROUP BY 1, 2, 3, 4),
 idle AS (SELECT r, y, w FROM u GROUP BY 1, 2, 3 HAVING max(u) <= 0),
-cases AS (SELECT x, sib.r, y, w, s, s_cost <= t * m_cost + r_cost AS cheap FROM ways JOIN sib ON sib.r = ways.r),
+cases AS (SELECT x, sib.r, y, w, s, s_cost <= t * m_cost + r_cost AS cheap FROM ways JOIN csib sib ON sib.r = ways.r),
 above AS (SELECT c.r, c.y, c.w, c.s FROM cases c JOIN u ON u.r = c.r AND u.y = c.y AND u.w = c.w LEFT JOIN cnet v ON v.recipe_id = c.s AND v.item_id = u.item_id WHERE u.u > coalesce(v.coef, 0)
   UNION SELECT c.r, c.y, c.w, c.s FROM cases c JOIN cnet v ON v.recipe_id = c.s LEFT JOIN u ON u.r = c.r AND u.y = c.y AND u.w = c.w AND u.item_id = v.item_id WHERE v.coef < 0 AND u.u IS NULL),
-open AS (SELECT c.x, c.r, c.y, c.s FROM cases c LEFT JOIN idle i ON i.r = c.r AND i.y = c.y AND i.w = c.w LEFT JOIN above a ON a.r = c.r AND a.y = c.y AND a.w = c.w AND a.s = c.s WHERE i.r IS NULL AND (a.r IS NOT NULL OR NOT c.cheap))""") + "SELECT x::INT AS item_id, sib.r AS recipe_id, a.y::INT AS guard, sib.s AS dominator FROM sib JOIN asked a ON a.r = sib.r ANTI JOIN open o ON o.x = sib.x AND o.r = sib.r AND o.y = a.y AND o.s = sib.s",
+open AS (SELECT c.x, c.r, c.y, c.s FROM cases c LEFT JOIN idle i ON i.r = c.r AND i.y = c.y AND i.w = c.w LEFT JOIN above a ON a.r = c.r AND a.y = c.y AND a.w = c.w AND a.s = c.s WHERE i.r IS NULL AND (a.r IS NOT NULL OR NOT c.cheap))""") + "SELECT x::INT AS item_id, sib.r AS recipe_id, a.y::INT AS guard, sib.s AS dominator FROM csib sib JOIN asked a ON a.r = sib.r ANTI JOIN open o ON o.x = sib.x AND o.r = sib.r AND o.y = a.y AND o.s = sib.s"),
     "repaired_marks": _with() + "SELECT recipe_id FROM recipes r WHERE anchor_amt < 30 AND recipe_id >= 0 AND NOT (recipe_id = (SELECT min(recipe_id) FROM recipes s WHERE s.anchor = r.anchor) AND (SELECT max(anchor_amt) FROM recipes s WHERE s.anchor = r.anchor) < 30)",
     "usable_marks": _with(_NORMAL) + "SELECT (s.item_id % 3)::INT AS query_id, count(DISTINCT m.recipe_id) AS n_recipes FROM marked m JOIN cstations s ON s.recipe_id = dominator GROUP BY 1",
     "tag_budget": _with() + "SELECT tag::INT AS tag, k, pairs::BIGINT AS pairs, pairs <= 100000 AND k <= 1024 AS admitted FROM (SELECT tag, k, sum(k * k) OVER (ORDER BY k, tag) AS pairs FROM (SELECT tag, count(*) AS k FROM tags GROUP BY 1))",
