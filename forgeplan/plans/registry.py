@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import folded, tokens
 from ..operators import balance, components, composite, dominance, normalize, planner, reach, reports, search, tags
-from ..sources import derived, tables
+from ..sources import derived, sinks, tables
 from ..sources.derived import Graph, graph
 
 TARGETS = (1, 2, 3)
@@ -209,6 +209,19 @@ def component_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.statistics(normalize.stored(graph(spark, sf_dir)))
 
 
+def recipe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.renumbered(_normal(spark, sf_dir))
+
+
+def mark_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _normal(spark, sf_dir, byproducts=True)
+    return sinks.mark_counts(g, {"directly_dominated": dominance.direct_pairs(g), "dominated_a_unit": dominance.per_unit_pairs(g)})
+
+
+def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.summary(graph(spark, sf_dir, byproducts=True)).withColumn("inputs_a_recipe", F.round("inputs_a_recipe", 6))
+
+
 def plan_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans for a hundred of each of three targets, with a third of the stations each and no stock."""
     g = normalize.stored(graph(spark, sf_dir))
@@ -240,7 +253,7 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.summary(reports.with_truth(reports.derived(rows), truth, ["o_custkey"]), ["config"]).withColumn("cost_ratio", F.round("cost_ratio", 6))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (graph_counts, net_columns, leaf_items, useful_recipes, canonical_recipes, direct_pairs, direct_pairs_byproducts, per_unit_pairs_byproducts, canonical_byproducts, direct_dominance, producer_stats, item_degrees, reachable, reachable_items, needed_items, seed_closure, plan_balance, plan_costs, name_tokens, name_search, names_ambiguous, per_unit_pairs, composite_pairs, composite_marks, repaired_marks, usable_marks, tag_budget, exclusive_items, tag_exclusive, closed_islands, cost_bounds, component_of_first, strong_components, component_statistics, plan_statuses, plan_shortfalls, inventories, report_summary)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (graph_counts, net_columns, leaf_items, useful_recipes, canonical_recipes, direct_pairs, direct_pairs_byproducts, per_unit_pairs_byproducts, canonical_byproducts, direct_dominance, producer_stats, item_degrees, reachable, reachable_items, needed_items, seed_closure, plan_balance, plan_costs, name_tokens, name_search, names_ambiguous, per_unit_pairs, composite_pairs, composite_marks, repaired_marks, usable_marks, tag_budget, exclusive_items, tag_exclusive, closed_islands, cost_bounds, component_of_first, strong_components, component_statistics, recipe_rows, mark_counts, graph_summary, plan_statuses, plan_shortfalls, inventories, report_summary)}
 
 _NORMAL = """
 eaten AS (SELECT o.recipe_id, bool_or(o.amount > coalesce(i.amount, 0)) AS gains FROM outputs o LEFT JOIN inputs i USING (recipe_id, item_id) GROUP BY 1),
@@ -330,6 +343,10 @@ cases AS (SELECT x, sib.r, y, w, s, s_cost <= t * m_cost + r_cost AS cheap FROM
 above AS (SELECT c.r, c.y, c.w, c.s FROM cases c JOIN u ON u.r = c.r AND u.y = c.y AND u.w = c.w LEFT JOIN cnet v ON v.recipe_id = c.s AND v.item_id = u.item_id WHERE u.u > coalesce(v.coef, 0)
   UNION SELECT c.r, c.y, c.w, c.s FROM cases c JOIN cnet v ON v.recipe_id = c.s LEFT JOIN u ON u.r = c.r AND u.y = c.y AND u.w = c.w AND u.item_id = v.item_id WHERE v.coef < 0 AND u.u IS NULL),
 open AS (SELECT c.x, c.r, c.y, c.s FROM cases c LEFT JOIN idle i ON i.r = c.r AND i.y = c.y AND i.w = c.w LEFT JOIN above a ON a.r = c.r AND a.y = c.y AND a.w = c.w AND a.s = c.s WHERE i.r IS NULL AND (a.r IS NOT NULL OR NOT c.cheap))""") + "SELECT x::INT AS item_id, sib.r AS recipe_id, a.y::INT AS guard, sib.s AS dominator FROM csib sib JOIN asked a ON a.r = sib.r ANTI JOIN open o ON o.x = sib.x AND o.r = sib.r AND o.y = a.y AND o.s = sib.s"),
+    "recipe_rows": _with(_NORMAL) + "SELECT recipe_id, (row_number() OVER (ORDER BY recipe_id) - 1)::BIGINT AS row FROM canon",
+    "mark_counts": _BY + "SELECT (SELECT count(*) FROM canon) AS recipes, (SELECT count(*) FROM (SELECT item_id FROM outputs WHERE recipe_id IN (SELECT recipe_id FROM canon) GROUP BY 1 HAVING count(DISTINCT recipe_id) > 1)) AS items_with_choice, (SELECT count(DISTINCT recipe_id) FROM pairs) AS directly_dominated, (SELECT count(DISTINCT recipe_id) FROM unit) AS dominated_a_unit",
+    "graph_summary": "WITH " + derived.BYPRODUCTS.strip() + """, i AS (SELECT item_id FROM outputs UNION SELECT item_id FROM inputs), e AS (SELECT (SELECT count(*) FROM outputs) AS output_edges, (SELECT count(*) FROM inputs) AS input_edges, (SELECT count(*) FROM stations) AS station_edges)
+SELECT (SELECT count(*) FROM i, n WHERE item_id <= n_parts + n_supp) AS items, (SELECT count(*) FROM i, n WHERE item_id > n_parts + n_supp) AS tags, (SELECT count(*) FROM recipes WHERE recipe_id >= 0) AS recipes, (SELECT count(*) FROM recipes WHERE recipe_id < 0) AS tag_edges, e.*, round(input_edges / (SELECT count(*) FROM recipes), 6) AS inputs_a_recipe FROM e""",
     "repaired_marks": _with() + "SELECT recipe_id FROM recipes r WHERE anchor_amt < 30 AND recipe_id >= 0 AND NOT (recipe_id = (SELECT min(recipe_id) FROM recipes s WHERE s.anchor = r.anchor) AND (SELECT max(anchor_amt) FROM recipes s WHERE s.anchor = r.anchor) < 30)",
     "usable_marks": _with(_NORMAL) + "SELECT (s.item_id % 3)::INT AS query_id, count(DISTINCT m.recipe_id) AS n_recipes FROM marked m JOIN cstations s ON s.recipe_id = dominator GROUP BY 1",
     "tag_budget": _with() + "SELECT tag::INT AS tag, k, pairs::BIGINT AS pairs, pairs <= 100000 AND k <= 1024 AS admitted FROM (SELECT tag, k, sum(k * k) OVER (ORDER BY k, tag) AS pairs FROM (SELECT tag, count(*) AS k FROM tags GROUP BY 1))",
