@@ -181,12 +181,6 @@ def _repeats(of: np.ndarray) -> np.ndarray:
     return ((ordered[:, 1:] == ordered[:, :-1]) & (ordered[:, 1:] >= 0)).any(axis=1)
 
 
-def _distinct(of: np.ndarray) -> np.ndarray:
-    """How many different numbers from 0 on each row has."""
-    ordered = np.sort(of, axis=1)
-    return (ordered[:, 0] >= 0).astype(np.int64) + ((ordered[:, 1:] != ordered[:, :-1]) & (ordered[:, 1:] >= 0)).sum(axis=1)
-
-
 class Block:
     """The shingles about the minima of a block of windows, numbered; -1 where a text has none.
 
@@ -208,30 +202,44 @@ class Block:
         self.n_values = len(values)
 
     def only(self, head: np.ndarray) -> None:
-        """Keeps the rows `head`, and lists the rows of each number.
+        """Keeps the rows `head`, and lists for each number the rows that have it, and those it is a rare one of.
 
-        `least` has for each row the fewest different shingles that a window of it has: two stretches that link have
-        at least similarity / (1 + similarity) of the sum of theirs in common.
+        Of the different shingles of two stretches that link, at most `missed` are in one alone, a share of 1 -
+        similarity of the row's; of the row's best window at most as many places as `need` leaves. So one of the rarest
+        shingles, one more than these, of every window within the stretch is shared, on either side. Windows that
+        start within `step` places of each other have a segment in common, which stands for them.
         """
         self.code, self.repeats, self.most = self.code[head], self.repeats[head], self.most[head]
-        n, wide = self.code.shape
-        order = np.argsort(self.code, axis=1, kind="stable")
-        ordered = np.take_along_axis(self.code, order, axis=1)
-        again = np.concatenate([np.zeros((n, 1), bool), ordered[:, 1:] == ordered[:, :-1]], axis=1)
-        self.least = np.full(n, self.room, np.int64)
-        some = np.flatnonzero(self.repeats)
-        if len(some):
-            before = np.full((len(some), wide), -1, np.int16)  # the place of a number's last occurrence
-            np.put_along_axis(before, order[some], np.where(again[some], np.roll(order[some], 1, axis=1), -1).astype(np.int16), axis=1)
-            void = self.code[some] == self.void
-            for s in range(wide - self.room + 1):
-                part = slice(s, s + self.room)
-                self.least[some] = np.minimum(self.least[some], np.where(void[:, part].any(axis=1), wide, (before[:, part] < s).sum(axis=1)))
-        row, column = np.nonzero(~again & (ordered != self.void))
-        code = ordered[row, column]
+        room, (n, wide) = self.room, self.code.shape
+        once = np.sort(self.code, axis=1)
+        fresh = np.concatenate([np.ones((n, 1), bool), once[:, 1:] != once[:, :-1]], axis=1) & (once != self.void)
+        count = np.bincount(once[fresh], minlength=self.n_values)
+        by_count = np.argsort(count, kind="stable").astype(np.int32)
+        rank = np.empty(self.n_values, np.int32)
+        rank[by_count] = np.arange(self.n_values, dtype=np.int32)
+        missed = np.floor((1 - self.similarity) * fresh.sum(axis=1) + 1e-9).astype(np.int16)
+        few = np.minimum(room - int(np.ceil(self.need)), missed)
+        ranks, found = rank[self.code], []
+        for kind, step in ((self.repeats, 1), (~self.repeats, max(1, room // 6))):  # few different shingles tell little
+            for s in range(0, wide - room + 1, step):
+                part = slice(min(s + step - 1, wide - room), s + room)
+                some = np.flatnonzero(kind & (self.code[:, part] != self.void).all(axis=1) & (self.most > 0))
+                ordered = np.sort(ranks[some, part], axis=1)
+                new = np.concatenate([np.ones((len(some), 1), bool), ordered[:, 1:] != ordered[:, :-1]], axis=1)
+                nth = np.cumsum(new, axis=1, dtype=np.int16)
+                row, column = np.nonzero(new & (nth <= missed[some, None] + 1))
+                found.append((some[row], by_count[ordered[row, column]], nth[row, column] <= few[some[row]] + 1))
+        row, code, rare = (np.concatenate(x) for x in zip(*found))
+        own = np.unique(row * self.n_values + code)
+        self.own, self.own_edge = own % self.n_values, np.searchsorted(own // self.n_values, np.arange(n + 1))
+        rare = np.unique(code[rare].astype(np.int64) * n + row[rare])
+        self.rare, self.rare_edge = (rare % n).astype(np.int32), np.searchsorted(rare // n, np.arange(self.n_values + 1))
+        row, column = np.nonzero(fresh)
+        code = once[row, column]
         by_code = np.argsort(code, kind="stable")
-        self.rows = row[by_code].astype(np.int32)
-        self.edge = np.searchsorted(code[by_code], np.arange(self.n_values + 1))
+        self.rows, self.edge = row[by_code].astype(np.int32), np.searchsorted(code[by_code], np.arange(self.n_values + 1))
+        self.mark = np.zeros(n, bool)
+        self.flag = np.zeros(self.n_values, bool)
 
     def _windows(self, hit: np.ndarray) -> np.ndarray:
         total = np.zeros((len(hit), hit.shape[1] + 1), np.int16)
@@ -242,13 +250,18 @@ class Block:
         """(row, first, last, first, last) of the rows that link to row `leader`: their stretch and the leader's, in columns.
 
         A row links if one of its windows of `room` shingles, drawn out over equal neighbours and cut to its first and
-        last shared place, has `room` or more, as the leader's stretch, and their Jaccard similarity is enough.
+        last shared place, has `room` or more, as the leader's stretch, and their Jaccard similarity is enough. Where
+        shingles repeat, the leader's stretch is the longest of the row's, and other windows are tried (`stretches`).
         """
         room, wide, own = self.room, self.code.shape[1], self.code[leader]
         at = np.flatnonzero(own != self.void)[::-1]
-        some = np.concatenate([self.rows[self.edge[c] : self.edge[c + 1]] for c in np.unique(own[at]).tolist()])
-        share = self.similarity / (1 + self.similarity)
-        row = np.flatnonzero(np.bincount(some, minlength=len(self.code)) >= share * (self.least + self.least[leader]) - 1e-9)
+        rare, mine = (
+            np.concatenate([rows[x:y] for x, y in zip(edge[codes].tolist(), edge[codes + 1].tolist()) if x < y] or [rows[:0]])
+            for rows, edge, codes in ((self.rare, self.rare_edge, np.unique(own[at])), (self.rows, self.edge, self.own[self.own_edge[leader] : self.own_edge[leader + 1]]))
+        )
+        self.mark[rare] = True
+        row = np.unique(mine[self.mark[mine]])
+        self.mark[rare] = False
         self.place[own[at]] = at  # the first place of each shingle
         place = self.place[self.code[row]]
         self.place[own[at]] = -1
@@ -268,14 +281,43 @@ class Block:
         low, high = np.where(inside, place, wide).min(axis=1), np.where(inside, place, -1).max(axis=1)
         both, x, y = inside.sum(axis=1), last - first + 1, high - low + 1
         ok = (x >= room) & (y >= room) & (both >= self.similarity * (x + y - both) - 1e-9)
-        twice = np.flatnonzero((self.repeats[row] | self.repeats[leader]) & (x >= room) & (y >= room))
-        if len(twice):  # compare the sets
+        twice = np.flatnonzero((self.repeats[row] | self.repeats[leader]) & (row != leader))
+        if len(twice):  # a shingle has several places: the sets are compared, and the leader's stretch looked for
+            ok[twice] = False
             within = (at >= first[twice, None]) & (at <= last[twice, None])
-            one = _distinct(np.where(within, self.code[row[twice]], -1))
-            common = _distinct(np.where(within & hit[twice], self.code[row[twice]], -1))
-            ends, which = np.unique(np.stack([low[twice], high[twice]], axis=1), axis=0, return_inverse=True)
-            two = np.array([len(np.unique(own[i : j + 1])) for i, j in ends.tolist()])[which.ravel()]
-            ok[twice] = common >= self.similarity * (one + two - common) - 1e-9
+            sets = np.sort(np.where(within, self.code[row[twice]], self.n_values), axis=1)
+            sets[:, 1:][sets[:, 1:] == sets[:, :-1]] = self.n_values
+            _, one, which = np.unique(mix(sets.astype(np.uint64) + np.uint64(1)).sum(axis=1), return_index=True, return_inverse=True)
+            for k, members in zip(one.tolist(), np.split(np.argsort(which, kind="stable"), np.cumsum(np.bincount(which))[:-1])):
+                x = sets[k][sets[k] < self.n_values]
+                self.flag[x] = True
+                i, j = longest(self.flag[own], self.need / room)
+                self.flag[x] = False
+                y = np.unique(own[i:j])
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if j - i >= room and both >= self.similarity * (len(x) + len(y) - both) - 1e-9:
+                    of = twice[members]
+                    of = of[last[of] - first[of] + 1 >= room]
+                    ok[of], low[of], high[of] = True, i, j - 1
+            # where the leader has such a window too, another one than that with the most hits may link
+            rest = twice[~ok[twice]]
+            back = np.zeros((len(rest), wide + 1), bool)
+            back[np.arange(len(rest))[:, None], place[rest]] = True  # the last column takes the misses
+            self.place[own[::-1]] = at[::-1]
+            same = self.place[own]
+            self.place[own] = -1
+            # sets that link have at most this share of what they have in common on one side alone
+            alone = np.floor((1 / self.similarity - 1) * back[:, :wide].sum(axis=1) + 1e-9)[:, None]
+            once = np.bincount(same, minlength=wide)[same] == 1
+            hit_ = back[:, same] & (own != self.void)
+            rest = rest[((self._windows(hit_) >= self.need) & (self._windows(~hit_ & once) <= alone)).any(axis=1)]
+            begin = int(np.argmax(own != self.void))
+            for k in rest.tolist():
+                whole = self.code[row[k]]
+                inner = np.flatnonzero(whole != self.void)
+                for x, y, i, j in stretches(whole[inner], own[own != self.void], room, self.similarity):
+                    ok[k], first[k], last[k], low[k], high[k] = True, inner[0] + x, inner[0] + y, begin + i, begin + j
+                    break
         return tuple(v[ok].astype(np.int64) for v in (row, first, last, low, high))
 
 

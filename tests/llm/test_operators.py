@@ -383,6 +383,15 @@ def test_near_passage_after_its_fragments(spark):
     assert {(r.doc_id, r.start_word, r.end_word, r.class_id) for r in rows} == {(0, 349, 399, 0), (1, 30, 80, 0)}
 
 
+def test_repeated_words_link_in_large_groups(spark):
+    """Forty texts hold one word sixty times; forty more hold it too few times for a passage."""
+    rng = np.random.default_rng(22)
+    some = lambda n: ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n)]
+    docs = [(k, " ".join([*some(45), *["the"] * (60 if k < 40 else 40), *some(45)])) for k in range(80)]
+    rows = substrings.passages(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.class_id) for r in rows} == {(k, 45, 105, 0) for k in range(40)}
+
+
 def test_decontamination_finds_what_keeps_its_share(spark):
     rng = np.random.default_rng(4)
     some = lambda n: ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n)]
