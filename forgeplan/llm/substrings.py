@@ -11,16 +11,16 @@ splitting each interval at its minimum and leaving those too short for a passage
    of the windows [l, r], taken along each diagonal in one sorted sweep.
 3. The proposed regions are compared in full: their densest common stretches of `least` words or more are kept if
    their Jaccard similarity is `similarity` or more.
-4. In larger groups no pairs are formed. Under each of `hot_hashes` functions the shingles about the minimum are
-   gathered, and the group is settled in blocks of up to `block` windows (`settled`): windows that no leader has
-   linked become leaders and are compared with the whole block; then every window outside the block's largest class
-   is, unless one class is left. Two windows of a block that link are thus in one class, whatever the block's size,
-   and copies cost one comparison each. Blocks of a group that has several send their leaders, and all that nothing in the
-   block could link, to a next round with blocks eight times as large. A key that is frequent within a chunk of one
-   task is dealt out by text at once, so no task gathers its windows.
+4. In larger groups no pairs are formed. Under each function the shingles about the minimum are gathered, and the group
+   is settled in blocks of about `block` windows (`settled`): windows that no leader has linked become leaders and are
+   compared with the whole block; then every window outside the block's largest class is, unless one class is left.
+   Two windows of a block that link are thus in one class, whatever the block's size, and copies cost one comparison
+   each. A group of more windows is dealt to parts of half a block, and every two parts meet in a block of their own,
+   so any two windows of a group meet. A key that is frequent within a chunk of one task is dealt out by text at once,
+   so no task gathers its windows.
 
-A pair of texts at the least similarity agrees under two of five functions with a probability of 0.993, and under one
-of two with 0.96; equal passages agree under all, and a text in a large group has many others to link to.
+A pair of texts at the least similarity agrees under two of five functions with a probability of 0.993, which is enough
+whatever groups it meets in, as one large group is; equal passages agree under all.
 
 Verified passages that overlap in a text are one; passages linked across texts form classes. Copies of a whole text
 are not compared: they have its passages, and one passage over the whole text if nothing else.
@@ -33,12 +33,14 @@ scanned whole; other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Stage, chunks, looked_up, mix, staged, words
@@ -211,6 +213,10 @@ class Block:
         """
         self.code, self.repeats, self.most = self.code[head], self.repeats[head], self.most[head]
         room, (n, wide) = self.room, self.code.shape
+        self.flag = np.zeros(self.n_values, bool)
+        self.listed = n > 64  # else all rows are compared
+        if not self.listed:
+            return
         once = np.sort(self.code, axis=1)
         fresh = np.concatenate([np.ones((n, 1), bool), once[:, 1:] != once[:, :-1]], axis=1) & (once != self.void)
         count = np.bincount(once[fresh], minlength=self.n_values)
@@ -239,13 +245,23 @@ class Block:
         by_code = np.argsort(code, kind="stable")
         self.rows, self.edge = row[by_code].astype(np.int32), np.searchsorted(code[by_code], np.arange(self.n_values + 1))
         self.mark = np.zeros(n, bool)
-        self.flag = np.zeros(self.n_values, bool)
 
     def _windows(self, hit: np.ndarray) -> np.ndarray:
         total = np.zeros((len(hit), hit.shape[1] + 1), np.int16)
         np.cumsum(hit, axis=1, out=total[:, 1:], dtype=np.int16)
         return total[:, self.room :] - total[:, : -self.room]
 
+    def _alike(self, leader: int, codes: np.ndarray) -> np.ndarray:
+        """The rows with one of the leader's rarest numbers, for which one of `codes`, the leader's, is a rarest."""
+        rare, mine = (
+            np.concatenate([rows[x:y] for x, y in zip(edge[some].tolist(), edge[some + 1].tolist()) if x < y] or [rows[:0]])
+            for rows, edge, some in ((self.rare, self.rare_edge, codes), (self.rows, self.edge, self.own[self.own_edge[leader] : self.own_edge[leader + 1]]))
+        )
+        self.mark[rare] = True
+        row = np.unique(mine[self.mark[mine]])
+        self.mark[rare] = False
+        return row
+
     def shared(self, leader: int) -> tuple[np.ndarray, ...]:
         """(row, first, last, first, last) of the rows that link to row `leader`: their stretch and the leader's, in columns.
 
@@ -255,13 +271,7 @@ class Block:
         """
         room, wide, own = self.room, self.code.shape[1], self.code[leader]
         at = np.flatnonzero(own != self.void)[::-1]
-        rare, mine = (
-            np.concatenate([rows[x:y] for x, y in zip(edge[codes].tolist(), edge[codes + 1].tolist()) if x < y] or [rows[:0]])
-            for rows, edge, codes in ((self.rare, self.rare_edge, np.unique(own[at])), (self.rows, self.edge, self.own[self.own_edge[leader] : self.own_edge[leader + 1]]))
-        )
-        self.mark[rare] = True
-        row = np.unique(mine[self.mark[mine]])
-        self.mark[rare] = False
+        row = self._alike(leader, np.unique(own[at])) if self.listed else np.arange(len(self.code))
         self.place[own[at]] = at  # the first place of each shingle
         place = self.place[self.code[row]]
         self.place[own[at]] = -1
@@ -325,10 +335,11 @@ def settled(of: np.ndarray, node: np.ndarray, room: int, similarity: float) -> t
     """Links (row, leader, first, last, first, last) that join the rows of a block into classes, and its leaders.
 
     Equal rows are compared once. Rows of one text (`node`) do not link to each other, so every place of a text is
-    linked to another text. Rows that nothing in the block can link to are leaders too: a larger block may have their
-    like.
+    linked to another text. Rows that nothing in the block can link to count as leaders.
     """
     block = Block(of, node, room, similarity)
+    if not block.most.any():
+        return [], np.arange(len(of))
     weights = mix(np.arange(of.shape[1], dtype=np.uint64) + np.uint64(1))
     _, head, rep = np.unique(mix((mix(block.code.astype(np.uint64)) * weights).sum(axis=1)), return_index=True, return_inverse=True)
     by_rep = np.argsort(rep, kind="stable")
@@ -379,8 +390,46 @@ def settled(of: np.ndarray, node: np.ndarray, room: int, similarity: float) -> t
     return out, np.flatnonzero(leaders)
 
 
-def passages(docs: DataFrame, least: int = 50, width: int = 5, similarity: float = 0.8, hashes: int = 5, enough: int = 2, dense: int = 16, hot_hashes: int = 2, block: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start_word, end_word, class_id, n_links) for every passage of every document that another text or document shares."""
+def released(spark: SparkSession) -> None:
+    """Has the driver collect garbage: shuffle files of what is written go only then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def forest(links: np.ndarray) -> np.ndarray:
+    """The links (node, start, end, node, start, end) that connect the same stretches, each with its ends' counts of links.
+
+    The counts of a stretch stand with one link, and are 0 with its others, so that their sum is that of all links.
+    """
+    n = len(links)
+    both = np.concatenate([links[:, :3], links[:, 3:]]).astype(np.uint64)
+    ends, which = np.unique(mix(mix(mix(both[:, 0]) + both[:, 1]) + both[:, 2]), return_inverse=True)
+    x, y = which[:n], which[n:]
+    first = np.unique(x * len(ends) + y, return_index=True)[1]
+    parent = list(range(len(ends)))
+    keep = []
+    for k, a, b in zip(first.tolist(), x[first].tolist(), y[first].tolist()):
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        while parent[b] != b:
+            parent[b] = parent[parent[b]]
+            b = parent[b]
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            keep.append(k)
+    kept = np.concatenate([x[keep], y[keep]])
+    counts = np.zeros(len(kept), np.int64)
+    some, at = np.unique(kept, return_index=True)
+    counts[at] = np.bincount(which)[some]
+    return np.column_stack([links[keep], counts[: len(keep)], counts[len(keep) :]])
+
+
+def passages(docs: DataFrame, least: int = 50, width: int = 5, similarity: float = 0.8, hashes: int = 5, enough: int = 2, dense: int = 16, block: int = 16384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start_word, end_word, class_id, n_links) for every passage of every document that another text or document shares.
+
+    n_links counts each link that was found, once for every function and block that found it in a large group.
+    """
     room = least - width + 1
     wide = 2 * room - 1
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
@@ -406,8 +455,6 @@ def passages(docs: DataFrame, least: int = 50, width: int = 5, similarity: float
                     deal = np.where(hot[inverse], 1 + (mix(node.view(np.uint64)) % np.uint64(251)).astype(np.int32), 0).astype(np.int32)
                     none = np.zeros(int(hot.sum()), np.int32)
                     columns = [(key, values[hot]), (node, none.astype(np.int64)), (lo - first, none - 1), (c - first, none - 1), (hi - first, none - 1), (deal, none)]
-                    if f >= hot_hashes:  # frequent keys of the other functions are not settled
-                        columns = [(x[deal == 0], y) for x, y in columns]
                     kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x.view(np.int64) if x.dtype == np.uint64 else x, y.view(np.int64) if y.dtype == np.uint64 else y]).astype(k)) for (x, y), k in zip(columns, kinds)], names=["key", "node", "l", "c", "r", "deal"])
 
@@ -433,7 +480,7 @@ def passages(docs: DataFrame, least: int = 50, width: int = 5, similarity: float
         of = [x[few] for x in (key, node, lo, c, hi)]
         apart = of[1][i] != of[1][j]  # what a text repeats by itself is no link
         i, j = i[apart], j[apart]
-        hot &= ~told & ((key & 15) < hot_hashes)
+        hot &= ~told
         zero = np.zeros(int(hot.sum()), np.int32)
         pair = [of[1][i], of[1][j], (of[0][i] & 15).astype(np.int32), of[2][i], of[3][i], of[4][i], of[2][j], of[3][j], of[4][j]]
         alone = [node[hot], key[hot], zero - 1, zero, c[hot], zero, zero, zero, zero]
@@ -457,116 +504,105 @@ def passages(docs: DataFrame, least: int = 50, width: int = 5, similarity: float
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The shingles that are asked for."""
-        kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
         for part in parts:
             for a, b in chunks(part, 1):
                 rows, h = shingles(part.column(1).slice(a, b - a), width)
                 h = (h >> np.uint64(33)).astype(np.int32)
                 start = np.searchsorted(rows, np.arange(b - a + 1))
-                out = []
-                for k in range(a, b):
-                    own = h[start[k - a] : start[k - a + 1]]
-                    node = part.column(0)[k].as_py()
-                    for ask in part.column(2)[k].as_py():
-                        some = own[max(0, ask["lo"]) : ask["hi"] + 1]
-                        out.append((ask["link"], ask["part"], ask["side"], node, ask["lo"], some))
-                    if len(out) >= 4096 or k == b - 1:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["link", "part", "side", "node", "lo", "h"])
-                        out = []
-
-    def verify(rows: list[tuple]) -> Iterator[tuple]:
-        """The links between the two sides of each proposed region."""
-        sides = {r[2]: r for r in rows}
-        if len(sides) == 2:
-            (_, _, _, a, la, x), (_, _, _, b, lb, y) = sides["a"], sides["b"]
-            la, lb = max(0, la), max(0, lb)
-            for s, e, s2, e2 in stretches(x, y, room, similarity):
-                yield a, la + s, la + e + width, b, lb + s2, lb + e2 + width
-
-    def settle(rows: list[tuple], several: bool) -> Iterator[tuple]:
-        """The links of a block, and its leaders (with a null end) if its group has several blocks."""
-        rows.sort(key=lambda r: (r[3], r[4]))
-        node, lo = np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
-        of = np.full((len(rows), wide), -1, np.int32)
-        for k, r in enumerate(rows):
-            at = max(0, -r[4])
-            of[k, at : at + len(r[5])] = r[5]
-        found, leaders = settled(of, node, room, similarity)
-        for some in found:
-            for i, j, s, e, s2, e2 in zip(*(x.tolist() for x in some)):
-                yield int(node[i]), int(lo[i]) + s, int(lo[i]) + e + width, int(node[j]), int(lo[j]) + s2, int(lo[j]) + e2 + width
-        if several:
-            for k in leaders.tolist():
-                yield int(node[k]), int(lo[k]), None, rows[0][0], 0, 0
+                asks = part.column(2).slice(a, b - a)
+                owner = pc.list_parent_indices(asks).to_numpy()
+                asks = asks.flatten()
+                link, block_, side, lo, hi = (pc.struct_field(asks, x) for x in ("link", "part", "side", "lo", "hi"))
+                node = part.column(0).slice(a, b - a).to_numpy()[owner]
+                first = np.minimum(start[owner] + np.maximum(lo.to_numpy(), 0), start[owner + 1])
+                n = np.maximum(np.minimum(start[owner] + hi.to_numpy() + 1, start[owner + 1]) - first, 0)
+                for s in range(0, len(n), 4096):
+                    e = min(s + 4096, len(n))
+                    offsets = np.concatenate([[0], np.cumsum(n[s:e])])
+                    values = h[np.repeat(first[s:e] - offsets[:-1], n[s:e]) + np.arange(offsets[-1])]
+                    yield pa.RecordBatch.from_arrays([link[s:e], block_[s:e], side[s:e], pa.array(node[s:e]), lo[s:e], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))], names=["link", "part", "side", "node", "lo", "h"])
+
+    def verify(node: list[int], lo: list[int], h: list[np.ndarray]) -> np.ndarray:
+        """The links between the two sides of a proposed region."""
+        (a, b), (la, lb) = node, (max(0, x) for x in lo)
+        return np.array([(a, la + s, la + e + width, b, lb + s2, lb + e2 + width, 1, 1) for s, e, s2, e2 in stretches(*h, room, similarity)], np.int64).reshape(-1, 8)
+
+    def settle(node: np.ndarray, lo: np.ndarray, h: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
+        """The links of a block."""
+        of = np.full((len(node), wide), -1, np.int32)
+        column = np.arange(len(h)) - np.repeat(np.cumsum(n) - n - np.maximum(0, -lo), n)
+        of[np.repeat(np.arange(len(node)), n), column] = h
+        order = np.lexsort((lo, node))
+        of, node, lo = of[order], node[order], lo[order]
+        found = settled(of, node, room, similarity)[0]
+        if found:
+            i, j, s, e, s2, e2 = (np.concatenate(x) for x in zip(*found))
+            yield forest(np.stack([node[i], lo[i] + s, lo[i] + e + width, node[j], lo[j] + s2, lo[j] + e2 + width], axis=1))
 
     def linked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by link and part: each group is verified or settled by itself."""
-        group: list[tuple] = []
-        out: list[tuple] = []
-
-        def flush() -> None:
-            if group:
-                out.extend(verify(group) if group[0][2] in "ab" else settle(group, group[0][2] == "m"))
-
-        def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(6)], names=["a", "sa", "ea", "b", "sb", "eb"])
-
+        """Rows come sorted by link, part and side: each group is verified or settled by itself."""
+
+        def made(part: pa.RecordBatch, last: bool) -> tuple[pa.RecordBatch, int]:
+            """The links of the whole groups of `part`, and where the rest begins."""
+            link, block_, node, lo = (part.column(i).to_numpy() for i in (0, 1, 3, 4))
+            values, at = part.column(5).values.to_numpy(), part.column(5).offsets.to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], (link[1:] != link[:-1]) | (block_[1:] != block_[:-1]), [last]]))
+            pairs = pc.not_equal(part.column(2), "s").to_numpy(zero_copy_only=False)
+            out = [np.zeros((0, 8), np.int64)]
+            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if not pairs[s]:
+                    out += settle(node[s:e], lo[s:e], values[at[s] : at[e]], np.diff(at[s : e + 1]))
+                elif e - s > 1:
+                    ends = (s, e - 1)  # sides a and b
+                    out.append(verify([int(node[k]) for k in ends], [int(lo[k]) for k in ends], [values[at[k] : at[k + 1]] for k in ends]))
+            found = np.concatenate(out)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found.T.copy()], names=["a", "sa", "ea", "b", "sb", "eb", "na", "nb"]), int(edge[-1])
+
+        rest = None
         for part in parts:
-            link, block_, side, node, lo = (part.column(i).to_pylist() for i in range(5))
-            values, edge = part.column(5).values.to_numpy(), part.column(5).offsets.to_numpy()
-            for k in range(part.num_rows):
-                if group and (link[k], block_[k]) != group[0][:2]:
-                    flush()
-                    group = []
-                group.append((link[k], block_[k], side[k], node[k], lo[k], values[edge[k] : edge[k + 1]].copy()))
-            if len(out) >= 1 << 14:
-                yield made()
-                out = []
-        flush()
-        yield made()
-
-    span = "a long, sa long, ea long, b long, sb long, eb long"
+            rest = pa.concat_batches([rest, part]) if rest is not None and rest.num_rows else part
+            if rest.num_rows:
+                found, edge = made(rest, False)
+                rest = rest.slice(edge)
+                yield found
+        if rest is not None and rest.num_rows:
+            yield made(rest, True)[0]
+
+    span = "a long, sa long, ea long, b long, sb long, eb long, na long, nb long"
     found = base.select("node", "text").mapInArrow(make, "key long, node long, l int, c int, r int, deal int").repartition("key", "deal")
     proposed = Stage(found.mapInArrow(propose, "a long, b long, f int, la int, ca int, ra int, lb int, cb int, rb int"), "proposed")
-    found, done = proposed.df, [proposed]
+    found = proposed.df
+    released(docs.sparkSession)
     pairs = found.where("f >= 0").repartition("a", "b").mapInArrow(judge, "a long, b long, a0 long, a1 long, b0 long, b1 long")
     pairs = pairs.withColumn("link", F.xxhash64("a", "b", "a0", "a1", "b0", "b1"))
     side = lambda s: F.struct(F.col(s).alias("node"), F.struct("link", F.lit(s).alias("side"), F.col(f"{s}0").alias("lo"), F.col(f"{s}1").alias("hi"), F.lit(0).alias("part")).alias("ask"))
     asked = pairs.select(F.explode(F.array(side("a"), side("b"))).alias("x")).select("x.*")
 
-    def blocks(hot: DataFrame, size: int) -> DataFrame:
-        """What to ask for the windows (key, node, c) of large groups, dealt to blocks of about `size`."""
-        n = hot.groupBy("key").agg(F.count("*").alias("n"))
-        parts = looked_up(hot, n.withColumn("parts", F.ceil(F.col("n") / size).cast("int")), "key", "n", hot.count())
-        ask_ = F.struct(F.col("key").alias("link"), F.when(F.col("parts") > 1, "m").otherwise("s").alias("side"), (F.col("c") - room + 1).cast("long").alias("lo"), (F.col("c") + room - 1).cast("long").alias("hi"), F.pmod(F.xxhash64("node", F.lit(size)), F.col("parts")).cast("int").alias("part"))
-        return parts.select("node", ask_.alias("ask"))
-
     hot = found.where("f = -1").select(F.col("b").alias("key"), F.col("a").alias("node"), F.col("ca").alias("c")).distinct()
-    links, size = None, block
-    while True:
-        asks = blocks(hot, size)
-        done.append(Stage((asks if asked is None else asked.unionByName(asks)).groupBy("node").agg(F.collect_list("ask").alias("asks")), "asks"))
-        asks = done[-1].df
-        slots = slots_for(asks.count())
-        filter_ = bloom(asks.select(F.col("node").alias("window")), slots)
-        some = base.where(let(filter_, lambda f: contains(f, slots, F.col("node")))).select("node", "text")  # noqa: B023
-        texts = some.groupBy("node").agg(F.first("text").alias("text")).join(asks, "node").select("node", "text", "asks")
-        slices = texts.mapInArrow(cut, "link long, part int, side string, node long, lo long, h array<int>")
-        made = staged(slices.repartition("link", "part").sortWithinPartitions("link", "part").mapInArrow(linked, span), "links")
-        own = made.where("ea is not null")
-        links = own if links is None else links.unionByName(own)
-        hot = made.where("ea is null").select(F.col("b").alias("key"), F.col("a").alias("node"), (F.col("sa") + room - 1).cast("int").alias("c"))
-        if hot.isEmpty():
-            break
-        asked, size = None, 8 * size
-
-    for stage in done:
-        stage.drop()
+    n = hot.groupBy("key").agg(F.count("*").alias("n"))
+    half = max(1, block // 2)
+    parts = looked_up(hot, n.withColumn("parts", F.greatest(F.lit(2), F.ceil(F.col("n") / half)).cast("int")), "key", "n", hot.count())
+    own = F.pmod(F.xxhash64("node", "c"), F.col("parts")).cast("int")
+    # a window is in a block with each other part; two parts are one block
+    meet = parts.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("parts") == 2, F.array(1 - F.col("own"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))).where("own != other")
+    ask = F.struct(F.col("key").alias("link"), F.lit("s").alias("side"), (F.col("c") - room + 1).cast("long").alias("lo"), (F.col("c") + room - 1).cast("long").alias("hi"), (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).cast("int").alias("part"))
+    asks = Stage(asked.unionByName(meet.select("node", ask.alias("ask"))).groupBy("node").agg(F.collect_list("ask").alias("asks")), "asks")
+    proposed.drop()
+    stage, asks = asks, asks.df
+    slots = slots_for(asks.count())
+    filter_ = bloom(asks.select(F.col("node").alias("window")), slots)
+    some = base.where(let(filter_, lambda f: contains(f, slots, F.col("node")))).select("node", "text")
+    texts = some.groupBy("node").agg(F.first("text").alias("text")).join(asks, "node").select("node", "text", "asks")
+    slices = texts.mapInArrow(cut, "link long, part int, side string, node long, lo long, h array<int>")
+    links = staged(slices.repartition("link", "part").sortWithinPartitions("link", "part", "side").mapInArrow(linked, span), "links")
+    stage.drop()
+    released(docs.sparkSession)
 
     # passages of a text that overlap are one
-    ends = links.withColumn("link", F.xxhash64("a", "sa", "b", "sb")).select("link", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("sa").alias("s"), F.col("ea").alias("e")), F.struct(F.col("b").alias("node"), F.col("sb").alias("s"), F.col("eb").alias("e")))).alias("x")).select("link", "x.*")
-    copies = base.groupBy("node").agg(F.countDistinct("doc_id").alias("n"), F.first("text").alias("text")).where("n > 1").select("node", n_words(F.col("text")).cast("long").alias("e")).where(F.col("e") >= least)
-    ends = ends.unionByName(copies.select(F.lit(None).cast("long").alias("link"), "node", F.lit(0).cast("long").alias("s"), "e"))
+    end = lambda x: F.struct(F.col(x).alias("node"), F.col(f"s{x}").alias("s"), F.col(f"e{x}").alias("e"), F.col(f"n{x}").alias("n"))
+    ends = links.withColumn("link", F.xxhash64("a", "sa", "b", "sb")).select("link", F.explode(F.array(end("a"), end("b"))).alias("x")).select("link", "x.*")
+    copies = base.select("node", "doc_id", n_words(F.col("text")).cast("long").alias("e")).groupBy("node").agg(F.countDistinct("doc_id").alias("n"), F.first("e").alias("e")).where("n > 1").select("node", "e").where(F.col("e") >= least)
+    ends = ends.unionByName(copies.select(F.lit(None).cast("long").alias("link"), "node", F.lit(0).cast("long").alias("s"), "e", F.lit(0).cast("long").alias("n")))
     spans = ends.select("node", "s", "e").distinct()
     before = F.max("e").over(Window.partitionBy("node").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.coalesce((F.col("s") >= before).cast("int"), F.lit(1)))
@@ -575,7 +611,7 @@ def passages(docs: DataFrame, least: int = 50, width: int = 5, similarity: float
     spans = stage.df
     edges = spans.where("link is not null").groupBy("link").agg(F.min("passage").alias("a"), F.max("passage").alias("b"))
     roots = components(edges)
-    merged = spans.groupBy("passage", "node").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"), F.count("link").alias("n_links"))
+    merged = spans.groupBy("passage", "node").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"), F.sum("n").alias("n_links"))
     merged = merged.join(roots.withColumnRenamed("node", "passage"), "passage", "left").withColumn("root", F.coalesce("root", "passage"))
     owners = base.select("node", "doc_id").distinct()
     rows = staged(owners.join(merged, "node"), "passages")

@@ -383,6 +383,32 @@ def test_near_passage_after_its_fragments(spark):
     assert {(r.doc_id, r.start_word, r.end_word, r.class_id) for r in rows} == {(0, 349, 399, 0), (1, 30, 80, 0)}
 
 
+def test_frequent_keys_lose_no_link_across_blocks(spark):
+    """A chain of texts, each linked to the next one only, whose windows are dealt to many blocks."""
+    rng = np.random.default_rng(21)
+    some = lambda n: ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n)]
+    own, texts = some(56), []
+    for k in range(90):
+        own = list(own)
+        own[4 + 11 * k % 24] = some(1)[0]
+        texts.append(own)
+    docs = [(k, " ".join([*some(45), *t, *some(45)])) for k, t in enumerate(texts)]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in slow_links(texts):
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    want = {k: find(k) for k in range(len(texts)) if sum(find(k) == find(j) for j in range(len(texts))) > 1}
+    for block in (16384, 8):
+        got = {r.doc_id: r.class_id for r in substrings.passages(spark.createDataFrame(docs, SCHEMA), block=block).collect()}
+        assert got == want
+
+
 def test_repeated_words_link_in_large_groups(spark):
     """Forty texts hold one word sixty times; forty more hold it too few times for a passage."""
     rng = np.random.default_rng(22)
