@@ -36,12 +36,12 @@ def inline_single_members(g: Graph) -> Graph:
     rest = g.inputs.join(g.recipes.where(F.col("anchor") > g.n_real), "recipe_id", "left_semi")
     new = real.join(used, "item_id", "left").groupBy("recipe_id", F.coalesce("member", "item_id").alias("item_id")).agg(F.sum("amount").alias("amount"))
     gone = mem.join(used.select(F.col("item_id").alias("tag")), "tag", "left_semi").select("recipe_id")
-    return _without(replace(g, inputs=new.unionByName(rest)), gone)
+    return _without(replace(g, inputs=new.unionByName(rest), packed=None), gone)
 
 
 def _without(g: Graph, gone: DataFrame) -> Graph:
     cut = lambda df: df.join(gone, "recipe_id", "left_anti")
-    return stored(replace(g, recipes=cut(g.recipes), outputs=cut(g.outputs), inputs=cut(g.inputs), stations=cut(g.stations)))
+    return stored(replace(g, recipes=cut(g.recipes), outputs=cut(g.outputs), inputs=cut(g.inputs), stations=cut(g.stations), packed=None))
 
 
 def inline_single_uses(g: Graph) -> Graph:
@@ -63,7 +63,7 @@ def inline_single_uses(g: Graph) -> Graph:
     gone = chosen.select("recipe_id").unionByName(mem.join(chosen.select("tag"), "tag", "left_semi").select("recipe_id")).distinct()
     left = _without(g, gone)
     both = lambda old, new: old.unionByName(renamed(new).select(*old.columns))
-    return stored(replace(left, recipes=both(left.recipes, of(g.recipes)), outputs=both(left.outputs, of(g.outputs)), inputs=both(left.inputs, inputs), stations=both(left.stations, of(g.stations))))
+    return stored(replace(left, recipes=both(left.recipes, of(g.recipes)), outputs=both(left.outputs, of(g.outputs)), inputs=both(left.inputs, inputs), stations=both(left.stations, of(g.stations)), packed=None))
 
 
 def stored_copies(g: Graph, pairs: DataFrame) -> DataFrame:

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.normalize import net
+from ..plans.fixpoint import written
 from ..sources.derived import Graph
 
 
 def renumbered(g: Graph) -> DataFrame:
-    """(recipe_id, row): recipes numbered from 0 in the order of their ids. One row a recipe of the catalogue reaches the window's task."""
-    from pyspark.sql import Window
-
-    return g.recipes.select("recipe_id", (F.row_number().over(Window.orderBy("recipe_id")) - 1).cast("long").alias("row"))
+    """(recipe_id, row): recipes numbered from 0 in the order of their ids. Ranges of ids are numbered each for itself, after the counts of those before."""
+    ranges = written(g.recipes.select("recipe_id").repartitionByRange("recipe_id").withColumn("part", F.spark_partition_id()), "ranges")
+    counts, before, offsets = sorted(ranges.groupBy("part").agg(F.count("*").alias("n")).collect()), 0, []
+    for part, n in counts:
+        offsets.append((part, before))
+        before += n
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("recipe_id"))
+    numbered = ranges.join(F.broadcast(ranges.sparkSession.createDataFrame(offsets, "part int, before long")), "part")
+    return numbered.select("recipe_id", (F.col("before") + rank - 1).cast("long").alias("row"))
 
 
 def coefficients(g: Graph, cells: DataFrame) -> DataFrame:
