@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,31 +12,62 @@ from pyspark.sql import functions as F
 from ..functions.solver import strong_order
 from ..plans.fixpoint import written
 from ..sources.derived import Graph
-from .normalize import net, stored
+from .normalize import cells, net, packed, stored
 
 _KEY = ["recipe_id", "guard", "maker"]
 
 
-def composite_pairs(g: Graph, whole_batches: bool = True, max_makers: int = 2048) -> DataFrame:
+def _possible(g: Graph, whole_batches: bool) -> DataFrame:
+    """(recipe_id, guard, q) of real inputs that may prove something, judged by their amounts alone.
+
+    With a maker of the input the sum u has some of it left over. Where that is above zero the sum is not idle, and a
+    sibling must give as much of it: the most that any maker leaves is compared with the most that a maker of both
+    items gives. Amounts are few and met as such, not asker by maker; inputs that nothing makes stay.
+    """
+    rows = packed(g)
+    rows = rows.select("recipe_id", "outs", "ins", F.inline(F.array(F.struct(F.filter(cells(rows), lambda x: x["item_id"].isNotNull()).alias("whole")))))
+    of = lambda i: F.coalesce(F.get(F.filter("whole", lambda x: x["item_id"] == i), F.lit(0))["coef"], F.lit(0))
+    asked = rows.select("recipe_id", "outs", "whole", F.inline("ins")).where(F.col("item_id") <= g.n_real).select("recipe_id", F.col("item_id").alias("guard"), F.col("amount").alias("q"), of(F.col("item_id")).alias("own"), F.array_contains(F.col("outs")["item_id"], F.col("item_id")).alias("selfish"))
+    made = rows.select("whole", F.inline("outs")).where(F.col("item_id") <= g.n_real).select(F.col("item_id").alias("guard"), F.col("amount").alias("p"), of(F.col("item_id")).alias("coef"))
+    times = F.expr("(q + p - 1) div p" if whole_batches else "q div p")
+    left = asked.select("guard", "q", "own").distinct().join(made.distinct(), "guard").groupBy("guard", "q", "own").agg(F.max(F.col("own") + times * F.col("coef")).alias("left"))
+    asked = written(asked.join(left, ["guard", "q", "own"], "left"), "asked")
+    gains = F.filter("whole", lambda x: (x["coef"] > 0) & (x["item_id"] <= g.n_real))
+    room = rows.select(F.explode(F.filter("outs", lambda x: x["item_id"] <= g.n_real)["item_id"]).alias("x"), gains.alias("gains")).select("x", F.inline("gains"))
+    room = written(room.where("x <> item_id").groupBy("x", F.col("item_id").alias("guard")).agg(F.max("coef").alias("room")), "room")
+    cols = ["recipe_id", "guard", "q"]
+    open_ = asked.where("left IS NULL OR left <= 0 OR selfish").select(*cols)
+    if not room.isEmpty():  # only recipes of several outputs give room
+        over = asked.where("left > 0 AND NOT selfish").join(g.outputs.select("recipe_id", F.col("item_id").alias("x")), "recipe_id")
+        open_ = open_.unionByName(over.join(room, ["x", "guard"]).where("room >= left").select(*cols).distinct())
+    return written(open_, "possible")
+
+
+def composite_pairs(g: Graph, whole_batches: bool = True) -> DataFrame:
     """(item_id, recipe_id, guard, dominator): a sibling in making the item is no worse than the recipe with any maker of its input `guard`.
 
     The recipe and the maker's batches that its input needs are added up, item by item; the sum u is beaten by the
     sibling's column v if u <= v everywhere and it costs no less, and is idle if u <= 0. u <= v is counted, not
     compared pair by pair: all gains of u must be matched in v, and all losses of v in u, so columns only meet on
     items they share. A sibling that eats the item beats nothing; an input that nothing makes is beaten by all
-    siblings; inputs with more than `max_makers` makers prove nothing.
+    siblings. Inputs whose amounts rule out a proof (`_possible`) are left out before anything meets.
     """
-    columns = written(net(g), "columns")
+    possible = _possible(g, whole_batches)
+    losers = possible.select("recipe_id").distinct()
     made = g.outputs.where(F.col("item_id") <= g.n_real).select("item_id", "recipe_id")
     eats = g.inputs.select("item_id", "recipe_id")
-    siblings = written(made.join(made.join(eats, ["item_id", "recipe_id"], "left_anti").withColumnRenamed("recipe_id", "dominator"), "item_id").where("recipe_id <> dominator"), "siblings")
-    asked = g.inputs.where(F.col("item_id") <= g.n_real).join(siblings.select("recipe_id").distinct(), "recipe_id", "left_semi").select("recipe_id", F.col("item_id").alias("guard"), F.col("amount").alias("q"))
+    own = written(made.join(losers, "recipe_id", "left_semi"), "own")
+    able = made.join(own.select("item_id").distinct(), "item_id", "left_semi").join(eats, ["item_id", "recipe_id"], "left_anti")
+    siblings = written(own.join(able.withColumnRenamed("recipe_id", "dominator"), "item_id").where("recipe_id <> dominator"), "siblings")
+    asked = possible.join(siblings.select("recipe_id").distinct(), "recipe_id", "left_semi")
     cost = g.recipes.select("recipe_id", "cost")
     makers = g.outputs.select(F.col("item_id").alias("guard"), F.col("recipe_id").alias("maker"), F.col("amount").alias("p"))
-    n_makers = makers.groupBy("guard").agg(F.count("*").alias("n_makers"))
-    ways = asked.join(n_makers.where(F.col("n_makers") <= max_makers), "guard").join(makers, "guard").join(cost.select(F.col("recipe_id").alias("maker"), F.col("cost").alias("m_cost")), "maker").join(cost, "recipe_id")
+    n_makers = written(makers.join(asked.select("guard").distinct(), "guard", "left_semi").groupBy("guard").agg(F.count("*").alias("n_makers")), "n_makers")
+    ways = asked.join(n_makers, "guard").join(makers, "guard").join(cost.select(F.col("recipe_id").alias("maker"), F.col("cost").alias("m_cost")), "maker").join(cost, "recipe_id")
     ways = ways.select(*_KEY, "n_makers", F.expr("(q + p - 1) div p" if whole_batches else "q div p").alias("times"), "m_cost", "cost")
     ways = written(ways.withColumn("u_cost", F.col("times") * F.col("m_cost") + F.col("cost")), "ways")
+    met = ways.select("recipe_id").unionByName(ways.select(F.col("maker").alias("recipe_id"))).unionByName(siblings.select(F.col("dominator").alias("recipe_id"))).distinct()
+    columns = written(net(replace(g, packed=packed(g).join(met, "recipe_id", "left_semi"))), "columns")
     parts = ways.join(columns, "recipe_id").select(*_KEY, F.col("item_id").alias("part"), "coef")
     parts = parts.unionByName(ways.join(columns.withColumnRenamed("recipe_id", "maker"), "maker").select(*_KEY, F.col("item_id").alias("part"), (F.col("coef") * F.col("times")).alias("coef")))
     u = written(parts.groupBy(*_KEY, "part").agg(F.sum("coef").alias("u")), "sums")
@@ -63,36 +97,51 @@ def representatives(pairs: DataFrame) -> DataFrame:
     """(item_id, recipe_id, kept): the recipes that stand for each dominated one.
 
     Among an item's makers the relation may have cycles; of each strong component that nothing outside beats the
-    lowest recipe is kept, and stands for all that lead to it. One task has one item's dominated makers.
+    lowest recipe is kept, and stands for all that lead to it. Items are settled one after the other, each held by one task.
     """
 
-    def resolve(df: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({*df["recipe_id"], *df["dominator"]})
+    kind = dict(pairs.dtypes)
+
+    def settled(item: int, links: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        names = sorted({r for link in links for r in link})
         place = {r: k for k, r in enumerate(names)}
         after: list[list[int]] = [[] for _ in names]
-        for a, b in zip(df["recipe_id"], df["dominator"]):
+        for a, b in links:
             after[place[a]].append(place[b])
         group, ends = {}, []
         for k, members in enumerate(strong_order(len(names), after)):
             group |= dict.fromkeys(members, k)
             beyond = {group[w] for m in members for w in after[m]} - {k}
             ends.append(set().union(*(ends[b] for b in beyond)) if beyond else {min(members)})
-        item = df["item_id"].iloc[0]
-        out = [(item, names[v], names[e]) for v in range(len(names)) for e in sorted(ends[group[v]]) if e != v]
-        return pd.DataFrame(out, columns=["item_id", "recipe_id", "kept"])
-
-    kind = dict(pairs.dtypes)
-    return pairs.select("item_id", "recipe_id", "dominator").distinct().groupBy("item_id").applyInPandas(resolve, f"item_id {kind['item_id']}, recipe_id {kind['recipe_id']}, kept {kind['recipe_id']}")
-
-
-def composite_marks(g: Graph, whole_batches: bool = True, max_makers: int = 2048) -> DataFrame:
+        return [(item, names[v], names[e]) for v in range(len(names)) for e in sorted(ends[group[v]]) if e != v]
+
+    def resolve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(rows, columns=["item_id", "recipe_id", "kept"])
+        item, links = None, []
+        for df in frames:
+            out = []
+            for x, a, b in zip(df["item_id"].tolist(), df["recipe_id"].tolist(), df["dominator"].tolist()):
+                if x != item and links:
+                    out += settled(item, links)
+                    links = []
+                item = x
+                links.append((a, b))
+            yield frame(out)
+        if links:
+            yield frame(settled(item, links))
+
+    dealt = pairs.select("item_id", "recipe_id", "dominator").repartition("item_id").sortWithinPartitions("item_id")
+    return dealt.mapInPandas(resolve, f"item_id {kind['item_id']}, recipe_id {kind['recipe_id']}, kept {kind['recipe_id']}")
+
+
+def composite_marks(g: Graph, whole_batches: bool = True) -> DataFrame:
     """(recipe_id, guard, stations) of the recipes that lose; a recipe that loses for several items has the last one's.
 
     Of items all of whose makers lose the first is given back.
     """
     from .dominance import repaired
 
-    pairs = first_guards(composite_pairs(stored(g), whole_batches, max_makers))
+    pairs = first_guards(composite_pairs(stored(g), whole_batches))
     kept = representatives(pairs).withColumnRenamed("recipe_id", "loser")
     at = kept.join(g.stations.withColumnRenamed("item_id", "station"), F.col("kept") == F.col("recipe_id")).groupBy("item_id", F.col("loser").alias("recipe_id")).agg(F.array_sort(F.collect_set("station")).alias("stations"))
     marks = kept.select("item_id", F.col("loser").alias("recipe_id")).distinct().join(pairs.select("item_id", "recipe_id", "guard").distinct(), ["item_id", "recipe_id"]).join(at, ["item_id", "recipe_id"], "left")

@@ -2,57 +2,90 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import written
 from ..sources.derived import Graph
 from .composite import representatives
-from .normalize import net
+from .normalize import cells, packed
+
 
+#: Makers of one item up to which all meet all; of more, a recipe only meets those that lose what it loses.
+FEW = 1024
 
-def _met(g: Graph, compare: Column, max_siblings: int) -> DataFrame:
-    """(item_id, recipe_id, dominator, n_equal, n_r, n_s, r_out, s_out): makers of one real item whose columns the dominator covers.
 
-    A column holds what a recipe gives less what it takes, byproducts included. R <= S everywhere is counted, not
-    compared pair by pair: all gains of R must be matched in S, and all losses of S in R, so columns only meet on items
-    they share (the item itself is always one, be its coefficient zero). `compare` is R's coefficient less S's, up to a positive factor. A dominator costs no more and does not
-    consume the item itself; items with more than `max_siblings` makers are left out.
+def makers(g: Graph) -> DataFrame:
+    """(item_id, recipe_id, out, cost, able, net, n_gains, n_losses, gains, losses, lost): the makers of every real item.
+
+    `net` maps items to what a recipe gives less what it takes, zeros left out; `lost` are the items that it loses;
+    `gains` and `losses` have a bit for each item, by its hash. A maker is able to dominate if it does not consume the item.
+    """
+    rows = packed(g)
+    whole = F.filter(cells(rows), lambda x: x["coef"] != 0)
+    whole = F.transform(whole, lambda x: F.struct(F.coalesce(x["item_id"], F.lit(0)).alias("item_id"), x["coef"].alias("coef")))
+    eaten = F.transform(F.filter("ins", lambda x: x["amount"] > 0), lambda x: x["item_id"])
+    rows = rows.select("recipe_id", "cost", "outs", F.inline(F.array(F.struct(whole.alias("whole"), eaten.alias("eaten")))))  # worked out once a row
+    signed = rows.select("*", F.inline(F.array(F.struct(F.filter("whole", lambda x: x["coef"] > 0)["item_id"].alias("won"), F.filter("whole", lambda x: x["coef"] < 0)["item_id"].alias("lost")))))
+    bits = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(i), F.lit(64)).cast("int"))))
+    rows = signed.select("recipe_id", "cost", "eaten", F.map_from_entries("whole").alias("net"), F.size("won").alias("n_gains"), F.size("lost").alias("n_losses"), bits("won").alias("gains"), bits("lost").alias("losses"), "lost", F.inline("outs"))
+    able = ~F.coalesce(F.array_contains("eaten", F.col("item_id")), F.lit(False))
+    return written(rows.where(F.col("item_id") <= g.n_real).withColumn("able", able).withColumnRenamed("amount", "out").drop("eaten"), "makers")
+
+
+def _met(g: Graph, compare: Callable[[Column, Column], Column], strict: bool, *also: Column, few: int, rows: DataFrame | None) -> DataFrame:
+    """(item_id, recipe_id, dominator): makers of one real item whose columns the dominator covers.
+
+    A column holds what a recipe gives less what it takes, byproducts included. R <= S everywhere needs all gains of R
+    among those of S, and all losses of S among those of R; pairs whose counts and bits allow it are compared whole.
+    `compare` gives R's and S's sides of the comparison for their coefficients; with `strict` the columns must differ.
+    A dominator costs no more and does not consume the item itself. Of an item of more than `few` makers S is only met by recipes
+    that lose the item which the fewest of its makers lose among those that S loses, or by all if S loses none: no pair is left out. `rows` are those of `makers`.
     """
-    columns = written(net(g, zeros=True), "columns")
-    counted = columns.groupBy("recipe_id").agg(F.count_if(F.col("coef") != 0).alias("n"), F.count_if(F.col("coef") > 0).alias("gains"), F.count_if(F.col("coef") < 0).alias("losses"))
-    made = g.outputs.where(F.col("item_id") <= g.n_real).select("item_id", "recipe_id", F.col("amount").alias("out"))
-    few = made.groupBy("item_id").agg(F.count("*").alias("k")).where(F.col("k").between(2, max_siblings)).select("item_id")
-    makers = made.join(few, "item_id", "left_semi").join(g.recipes.select("recipe_id", "cost"), "recipe_id")
-    makers = written(makers.join(counted, "recipe_id", "left").na.fill(0, ["n", "gains", "losses"]), "makers")
-    able = makers.join(g.inputs.where("amount > 0").select("item_id", "recipe_id"), ["item_id", "recipe_id"], "left_anti")
-    r = makers.join(columns.withColumnRenamed("item_id", "part"), "recipe_id").alias("r")
-    s = able.join(columns.withColumnRenamed("item_id", "part"), "recipe_id").alias("s")
-    same = (F.col("r.item_id") == F.col("s.item_id")) & (F.col("r.part") == F.col("s.part")) & (F.col("r.recipe_id") != F.col("s.recipe_id")) & (F.col("s.cost") <= F.col("r.cost"))
-    met = r.join(s, same & (compare <= 0))
-    key = [F.col("r.item_id").alias("item_id"), F.col("r.recipe_id").alias("recipe_id"), F.col("s.recipe_id").alias("dominator")]
-    met = met.groupBy(*key).agg(
-        F.count_if(F.col("r.coef") > 0).alias("g"), F.count_if(F.col("s.coef") < 0).alias("l"), F.count_if((compare == 0) & (F.col("r.coef") != 0)).alias("n_equal"),
-        F.first("r.gains").alias("gains"), F.first("s.losses").alias("losses"), F.first("r.n").alias("n_r"), F.first("s.n").alias("n_s"), F.first("r.out").alias("r_out"), F.first("s.out").alias("s_out"),
-    )
-    return met.where("g = gains AND l = losses")
-
-
-def direct_pairs(g: Graph, max_siblings: int = 2048) -> DataFrame:
+    rows = makers(g) if rows is None else rows
+    light = ["item_id", "recipe_id", "cost", "out", "net", "n_gains", "n_losses", "gains", "losses"]
+    many = written(g.outputs.where(F.col("item_id") <= g.n_real).groupBy("item_id").agg(F.count("*").alias("k")).where(F.col("k") > few).select("item_id"), "many")
+    if many.isEmpty():
+        r, s, slot = rows.select(*light).alias("r"), rows.where("able").select(*light).alias("s"), F.lit(True)
+    else:
+        plain = rows.join(many, "item_id", "left_anti").withColumn("slot", F.lit(0))
+        big = written(rows.join(many, "item_id", "left_semi"), "big")
+        losers = big.select("item_id", F.explode("lost").alias("slot")).groupBy("item_id", "slot").agg(F.count("*").alias("n"))
+        rarest = big.where("able").select("item_id", "recipe_id", F.explode("lost").alias("slot")).join(losers, ["item_id", "slot"]).groupBy("item_id", "recipe_id").agg(F.min_by("slot", F.struct("n", "slot")).alias("slot"))
+        r = plain.select(*light, "slot").unionByName(big.select(*light, F.explode(F.concat("lost", F.array(F.lit(-1)))).alias("slot"))).alias("r")
+        s = plain.where("able").select(*light, "slot").unionByName(big.where("able").join(rarest, ["item_id", "recipe_id"], "left").select(*light, F.coalesce("slot", F.lit(-1)).alias("slot"))).alias("s")
+        slot = F.col("r.slot") == F.col("s.slot")
+    may = (F.col("r.item_id") == F.col("s.item_id")) & slot & (F.col("r.recipe_id") != F.col("s.recipe_id")) & (F.col("s.cost") <= F.col("r.cost"))
+    for extra in also:
+        may &= extra
+    may &= (F.col("r.n_gains") <= F.col("s.n_gains")) & (F.col("s.n_losses") <= F.col("r.n_losses"))
+    may &= (F.col("r.gains").bitwiseAND(F.bitwise_not("s.gains")) == 0) & (F.col("s.losses").bitwiseAND(F.bitwise_not("r.losses")) == 0)
+    none = F.lit(0).cast("long")
+    of = lambda side, i: F.coalesce(F.try_element_at(F.col(f"{side}.net"), i), none)
+    within = lambda test, v, w: test(*compare(v, w))
+    no_more, less = (lambda v, w: v <= w), (lambda v, w: v < w)
+    mine, its = F.map_entries("r.net"), F.map_entries("s.net")
+    covered = F.forall(mine, lambda x: within(no_more, x["value"], of("s", x["key"]))) & F.forall(its, lambda y: within(no_more, of("r", y["key"]), y["value"]))
+    differ = F.exists(mine, lambda x: within(less, x["value"], of("s", x["key"]))) | F.exists(its, lambda y: within(less, of("r", y["key"]), y["value"]))
+    met = r.join(s, may & covered & differ if strict else may & covered)
+    return met.select(F.col("r.item_id").alias("item_id"), F.col("r.recipe_id").alias("recipe_id"), F.col("s.recipe_id").alias("dominator"))
+
+
+def direct_pairs(g: Graph, few: int = FEW, rows: DataFrame | None = None) -> DataFrame:
     """(item_id, recipe_id, dominator): one run of the dominator stands in for one of the recipe, and makes no less of the item."""
-    met = _met(g, F.col("r.coef") - F.col("s.coef"), max_siblings)
-    return met.where("r_out <= s_out").select("item_id", "recipe_id", "dominator")
+    return _met(g, lambda v, w: (v, w), False, F.col("r.out") <= F.col("s.out"), few=few, rows=rows)
 
 
-def per_unit_pairs(g: Graph, max_siblings: int = 2048) -> DataFrame:
+def per_unit_pairs(g: Graph, few: int = FEW, rows: DataFrame | None = None) -> DataFrame:
     """(item_id, recipe_id, dominator) where the dominator's column is no less for one unit of the item, and more in something.
 
     Coefficients are compared crosswise as DECIMAL(38,0), so no ratio is rounded; a run costs no more, as it is. Equal
     columns of different batches beat each other nowhere.
     """
-    big = lambda c: F.col(c).cast("decimal(19,0)")
-    met = _met(g, big("r.coef") * big("s.out") - big("s.coef") * big("r.out"), max_siblings)
-    return met.where("NOT (n_equal = n_r AND n_equal = n_s)").select("item_id", "recipe_id", "dominator")
+    big = lambda c: c.cast("decimal(19,0)")
+    return _met(g, lambda v, w: (big(v) * big(F.col("s.out")), big(w) * big(F.col("r.out"))), True, few=few, rows=rows)
 
 
 def direct_marks(g: Graph, pairs: DataFrame | None = None) -> DataFrame:
@@ -61,8 +94,8 @@ def direct_marks(g: Graph, pairs: DataFrame | None = None) -> DataFrame:
     The recipes that nothing beats, and the lowest one of each set of equals, stand for those that they beat.
     """
     kept = representatives(direct_pairs(g) if pairs is None else pairs).withColumnRenamed("recipe_id", "loser")
-    at = kept.join(g.stations.withColumnRenamed("item_id", "station"), F.col("kept") == F.col("recipe_id"), "left")
-    marks = at.groupBy("item_id", F.col("loser").alias("recipe_id")).agg(F.countDistinct("kept").alias("n_dominators"), F.array_sort(F.collect_set("station")).alias("stations"))
+    at = kept.join(packed(g).select(F.col("recipe_id").alias("kept"), F.sort_array("stations").alias("stations")), "kept", "left")
+    marks = at.groupBy("item_id", F.col("loser").alias("recipe_id")).agg(F.count("*").alias("n_dominators"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("stations")))).alias("stations"))
     return marks.groupBy("recipe_id").agg(F.max_by(F.struct("n_dominators", "stations"), "item_id").alias("m")).select("recipe_id", "m.n_dominators", "m.stations")
 
 
