@@ -109,7 +109,8 @@ def initials(variant: Column, query: Column) -> Column:
 def search(index: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """(query_id, rank, handle, kind) of the best `limit` entries of each query (query_id, query)."""
     q = queries.select("query_id", tokens(F.col("query")).alias("q"), F.col("query").rlike(r"[^\x00-\x7F]").alias("wide")).where(F.size("q") > 0)
-    both = index.join(F.broadcast(q))
+    # names are short and their files few: dealt out, no task has a file's share of the matching
+    both = index.repartition(8 * index.sparkSession.sparkContext.defaultParallelism).join(F.broadcast(q))
     query = F.col("q")
     found = F.concat(
         F.array(sparse("en", F.col("en_tokens"), query), sparse("id", F.col("id_tokens"), query), F.when(F.col("wide"), chinese(F.col("zh"), query))),
