@@ -6,7 +6,7 @@ from dataclasses import replace
 
 import pytest
 
-from forgeplan.operators import composite, dominance, normalize
+from forgeplan.operators import composite, dominance, normalize, search
 from forgeplan.sources import derived, sinks
 
 SMALL = "/root/testdata/sf0.001"
@@ -65,3 +65,10 @@ def test_few_and_many_makers_agree(make):
     for pairs in (dominance.direct_pairs, dominance.per_unit_pairs):
         want = sorted(map(tuple, pairs(g).collect()))
         assert want and sorted(map(tuple, pairs(g, few=2).collect())) == want
+
+
+def test_names_are_dealt_out(spark):
+    names = spark.createDataFrame([(1, "a:stone", "Stone", None)], "handle long, resource_id string, name_en string, name_zh string").coalesce(1)
+    found = search.search(search.indexed(names), spark.createDataFrame([(0, "stone")], "query_id int, query string"), 5)
+    assert "RoundRobinPartitioning" in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(0, 1, 1, 0)]
